@@ -25,7 +25,21 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_toxicity, op7_decontaminate)}
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm import near_dups
+
+    return near_dups.find(spark, common.table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from seqloom.llm import bpe
+
+    return bpe.digests(spark, common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_toxicity, op7_decontaminate, op9_minhash, op10_bpe)}
 
 
 def oracles() -> dict[str, str]:

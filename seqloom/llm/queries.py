@@ -39,7 +39,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_toxicity, op7_decontaminate, op9_minhash, op10_bpe)}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm import secrets
+
+    return secrets.report(spark, common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_toxicity, op7_decontaminate, op8_secrets, op9_minhash, op10_bpe)}
 
 
 def oracles() -> dict[str, str]:

@@ -51,7 +51,7 @@ def chunks(text: Column) -> Column:
 
     def texts(lines: Column) -> Column:
         return _let(
-            ends(F.transform(lines, line_hash)),
+            _let(F.transform(lines, line_hash), ends),
             lambda last: F.transform(last, lambda e, k: _joined(lines, F.when(k == 0, 0).otherwise(F.get(last, k - 1)), e)),
         )
 

@@ -6,7 +6,7 @@ give an alignment of item and document, in which all words of the item are compa
 by an item if SHARE of the item's words stand in place, or if some stretch of the alignment scores RUN (a word in place adds
 1, another takes away 2; never below 0).
 
-Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased. An item shorter than SPAN is hashed whole, and so are
+Words are `[^\\x20\\x09-\\x0D]+` of the lower-cased text. An item shorter than SPAN is hashed whole, and so are
 windows of its length.
 
 Defined cases: null and empty texts and items have no words and match nothing; repeated rows are judged alike; ties can't
@@ -23,8 +23,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm import common
-
 #: Fixed masks; each has weight 6 of span 9.
 MASKS = ("110100111", "111011010", "101110011")
 SPAN = len(MASKS[0])
@@ -33,44 +31,52 @@ MAX_BROADCAST = 400_000
 
 
 def words(text: Column) -> Column:
-    """Array of words; null for null or wordless texts."""
-    found = F.filter(F.split(common.ascii_lower(text), "[ \\t-\\r]+"), lambda w: w != "")
-    return F.when(F.size(found) > 0, found)
+    """Array of words; a text without any gives one empty string."""
+    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), "[ \t-\r]+")
 
 
-def _seeds(rows: DataFrame, short: list[int]) -> DataFrame:
-    """rows with `words` and `n`: a row for each window and mask, with its position `at` and hash `seed`."""
-    at = F.col("at")
-    long = rows.where(F.col("n") >= SPAN).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - SPAN)))
-    hashes = [F.xxhash64(F.lit(m), *[F.get(F.col("words"), at + k) for k, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(MASKS)]
-    out = long.withColumn("seed", F.explode(F.array(*hashes)))
-    for n in short:
-        whole = rows.where(F.col("n") >= n).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - n)))
-        out = out.unionByName(whole.withColumn("seed", F.xxhash64(F.lit(-n), *[F.get(F.col("words"), at + k) for k in range(n)])))
-    return out
+def _spread(rows: DataFrame, shape: str, span: int) -> DataFrame:
+    """rows with `words` and `n`: one row for each window of `span` words, with its position `at`."""
+    windows = F.sequence(F.lit(0), F.col("n") - span)
+    return rows.withColumn("at", F.explode(F.when((F.col("n") >= span) & F.lit(shape == "all") | (F.col("n") == span), windows)))
+
+
+def _whole(n: int) -> Column:
+    """The hash of all `n` words at `at`."""
+    return F.xxhash64(F.lit(-n), *[F.get(F.col("words"), F.col("at") + k) for k in range(n)])
+
+
+def _masked() -> Column:
+    """The hashes under each mask at `at`."""
+    return F.array(*[F.xxhash64(F.lit(m), *[F.get(F.col("words"), F.col("at") + k) for k, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(MASKS)])
 
 
-def _item_seeds(items: DataFrame, short: list[int]) -> DataFrame:
-    out = _seeds(items.where(F.col("n") >= SPAN), [])
+def _seeds(rows: DataFrame, short: list[int], shape: str) -> DataFrame:
+    out = _spread(rows, "all", SPAN).withColumn("seed", F.explode(_masked()))
     for n in short:
-        whole = items.where(F.col("n") == n).withColumn("at", F.lit(0))
-        out = out.unionByName(whole.withColumn("seed", F.xxhash64(F.lit(-n), *[F.get(F.col("words"), F.col("at") + k) for k in range(n)])))
+        out = out.unionByName(_spread(rows, shape, n).withColumn("seed", _whole(n)))
     return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched (most words of the item in place in one alignment), item_words of each contamination."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("words")).where("words is not null and item_id is not null").withColumn("n", F.size("words"))
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", words(F.col("text")).alias("words")).distinct()
+    items = items.withColumn("n", F.size("words")).where("n > 1 or words[0] <> ''")
     short = sorted(r.n for r in items.where(F.col("n") < SPAN).select("n").distinct().collect())  # SPAN - 1 numbers at most
-    seeds = _item_seeds(items, short).select("seed", "item_id", F.col("at").alias("item_at"), F.col("words").alias("item")).distinct()
+    seeds = _seeds(items, short, "own").select("seed", "item_id", F.col("at").alias("item_at"), F.col("n").alias("item_n")).distinct()
     small = seeds.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    seeds = F.broadcast(seeds) if small else seeds
-    own = docs.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("words")).where("words is not null").withColumn("n", F.size("words"))
-    hits = _seeds(own, short).join(seeds, "seed").withColumn("shift", F.col("at") - F.col("item_at"))
-    same = F.transform("item", lambda w, j: F.coalesce(F.get("words", j + F.col("shift")) == w, F.lit(False)))
-    hits = hits.select("doc_id", "item_id", F.size("item").alias("item_words"), same.alias("same"))
+    hold = F.broadcast if small else lambda rows: rows
+    own = docs.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    hits = _seeds(own, short, "all").join(hold(seeds), "seed").withColumn("shift", F.col("at") - F.col("item_at"))
+    # The words beside the item go along as a key, so that the many hits of one alignment become one before the shuffle.
+    start = F.greatest(F.col("shift"), F.lit(0))
+    region = F.slice("words", start + 1, F.greatest(F.least(F.col("shift") + F.col("item_n"), F.col("n")) - start, F.lit(0)))
+    hits = hits.select("doc_id", "item_id", "shift", region.alias("region")).groupBy("doc_id", "item_id", "shift", "region").agg(F.count("*").alias("hits"))
+    hits = hits.join(hold(items.select("item_id", F.col("words").alias("item"))), "item_id")
+    skipped = F.greatest(-F.col("shift"), F.lit(0))
+    same = F.transform("item", lambda w, j: F.coalesce(F.get("region", j - skipped) == w, F.lit(False)))
     run = F.aggregate(
-        "same",
+        same,
         F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("all")),
         lambda a, s: F.struct(
             F.greatest(F.lit(0), a["now"] + F.when(s, 1).otherwise(-2)).alias("now"),
@@ -78,7 +84,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             (a["all"] + s.cast("int")).alias("all"),
         ),
     )
-    hits = hits.withColumn("run", run)
+    hits = hits.select("doc_id", "item_id", F.size("item").alias("item_words"), F.when(F.col("hits") > 0, run).alias("run"))
     hits = hits.where((F.col("run.all") >= SHARE * F.col("item_words")) | (F.col("run.best") >= RUN))
     return hits.groupBy("doc_id", "item_id").agg(F.max("run.all").cast("long").alias("matched"), F.max("item_words").cast("long").alias("item_words"))
 
@@ -100,8 +106,8 @@ def oracle() -> str:
     """The same in SQL: whole alignments are compared, at every shift where a seed's words agree."""
     on = " OR ".join("(" + " AND ".join(f"d.words[d.at + {k}] = b.words[b.at + {k}]" for k, c in enumerate(mask) if c == "1") + ")" for mask in MASKS)
     return f"""
-WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM documents),
-v AS (SELECT item_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM benchmark),
+WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM documents),
+v AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM benchmark),
 d AS (SELECT id, words, unnest(range(1, len(words) - {SPAN} + 2)) AS at FROM w WHERE len(words) >= {SPAN}),
 b AS (SELECT id, words, unnest(range(1, len(words) - {SPAN} + 2)) AS at FROM v WHERE len(words) >= {SPAN}),
 s AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.at - b.at AS shift FROM d JOIN b ON d.words[d.at] = b.words[b.at] AND ({on})),

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from seqloom.llm import common
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm import ann
+
+    return ann.search(spark, common.table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm import toxicity
 
@@ -45,7 +51,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(spark, common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_toxicity, op7_decontaminate, op8_secrets, op9_minhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_neighbours, op6_toxicity, op7_decontaminate, op8_secrets, op9_minhash, op10_bpe)}
 
 
 def oracles() -> dict[str, str]:

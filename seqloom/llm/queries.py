@@ -19,6 +19,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(spark, common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm import lm
+
+    return lm.score(spark, common.table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm import line_dedup
 
@@ -51,7 +57,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(spark, common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_neighbours, op6_toxicity, op7_decontaminate, op8_secrets, op9_minhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lm, op2_line_dedup, op5_neighbours, op6_toxicity, op7_decontaminate, op8_secrets, op9_minhash, op10_bpe)}
 
 
 def oracles() -> dict[str, str]:

@@ -6,6 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import common
 
+#: The surrogates' key; a caller of the operator brings its own.
+KEY = "not a secret: for reproducible queries"
+
+
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm import pii
+
+    return pii.report(spark, common.table(spark, sf_dir, "documents"), KEY)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm import quality
+
+    return quality.score(spark, common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm import ann
@@ -57,7 +72,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(spark, common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm, op2_line_dedup, op5_neighbours, op6_toxicity, op7_decontaminate, op8_secrets, op9_minhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lm, op2_line_dedup, op3_surrogates, op4_quality, op5_neighbours, op6_toxicity, op7_decontaminate, op8_secrets, op9_minhash, op10_bpe)}
 
 
 def oracles() -> dict[str, str]:

@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A document's features are the distinct n-grams (orders 3 to 7, in bytes) of its whole lower-cased text, each white-space
+A document's features are the distinct n-grams (orders 4 to 7, in bytes) of its whole lower-cased text, each white-space
 character counted as a space. From a bounded sample of labelled rows come, for each n-gram, the log ratio of its smoothed
 document rates in the two classes; the n-grams whose counts differ significantly (G2) are kept, their presence is multiplied
 by that ratio, and a logistic regression is fitted on the products.
@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 
 from seqloom.llm import common
 
-ORDERS = (3, 4, 5, 6, 7)
-#: Bounds of the training sample: labelled rows of each class, bytes of one row (longer rows aren't sampled) and of all.
-MAX_ROWS, MAX_ROW_BYTES, MAX_BYTES = 1500, 200_000, 16_000_000
+ORDERS = (4, 5, 6, 7)
+#: Bounds of the training sample: labelled rows of class 0 and 1, bytes of one row (longer rows aren't sampled) and of all.
+MAX_ROWS, MAX_ROW_BYTES, MAX_BYTES = (2000, 1000), 200_000, 10_000_000
 MAX_FEATURES, MIN_G2, SLOTS = 3000, 24.0, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.arange(256, dtype=np.uint8)
@@ -34,8 +34,7 @@ _SPACE[9:14] = 32
 
 def grams(text: str | None) -> Iterator[np.ndarray]:
     """Codes of the n-grams of one text, order by order: up to 7 bytes and, on top, the order; no two n-grams share a code."""
-    data = f" {text.lower()} ".encode("utf-8", "surrogatepass") if text else b""
-    a = _SPACE[np.frombuffer(data, dtype=np.uint8)].astype(np.uint64)
+    a = _bytes(text).astype(np.uint64)
     code = a
     for n in range(2, max(ORDERS) + 1):
         if len(a) < n:
@@ -45,8 +44,17 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
             yield code | np.uint64(n << 56)
 
 
-def _slot(codes: np.ndarray) -> np.ndarray:
-    return (codes * _MIX) >> np.uint64(44)
+def _bytes(text: str | None) -> np.ndarray:
+    data = f" {text.lower()} ".encode("utf-8", "surrogatepass") if text else b""
+    return _SPACE[np.frombuffer(data, dtype=np.uint8)]
+
+
+def _slot(codes: np.ndarray, bits: int = 20) -> np.ndarray:
+    return (codes * _MIX) >> np.uint64(64 - bits)
+
+
+def _slot4(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint32(2654435761)) >> np.uint32(12)
 
 
 @dataclass
@@ -65,25 +73,45 @@ class Model:
             else:
                 rest.append(i)
         self.rest = np.array(rest, dtype=np.int64)
-        self.taken = self.slots >= 0
+        # Every feature starts with four bytes; a place where no feature's four stand isn't looked at again.
+        order = self.codes >> np.uint64(56)
+        first = ((self.codes & np.uint64((1 << 56) - 1)) >> (np.uint64(8) * (order - np.uint64(4)))).astype(np.uint32)
+        self.gate = np.zeros(SLOTS, dtype=bool)
+        self.gate[_slot4(first)] = True
 
     def features(self, text: str | None) -> np.ndarray:
         """Indexes of the kept n-grams that occur in the text."""
-        found = []
-        for codes in grams(text):
-            slot = _slot(codes)
-            hit = np.flatnonzero(self.taken[slot])
-            at = self.slots[slot[hit]]
-            found.append(np.unique(at[self.codes[at] == codes[hit]]))
+        a = _bytes(text)
+        if len(a) < 4 or not len(self.codes):
+            return np.empty(0, dtype=np.int64)
+        b = a.astype(np.uint32)
+        four = (b[:-3] << np.uint32(24)) | (b[1:-2] << np.uint32(16)) | (b[2:-1] << np.uint32(8)) | b[3:]
+        at = np.flatnonzero(self.gate[_slot4(four)])
+        code, found = four[at].astype(np.uint64), []
+        for n in ORDERS:
+            if n > 4:
+                inside = at + n <= len(a)
+                at, code = at[inside], code[inside]
+                code = (code << np.uint64(8)) | a[at + (n - 1)]
+            own = code | np.uint64(n << 56)
+            k = self.slots[_slot(own)]
+            k, of = k[k >= 0], own[k >= 0]
+            found.append(k[self.codes[k] == of])
             if len(self.rest):
-                found.append(self.rest[np.isin(self.codes[self.rest], codes)])
-        return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
+                found.append(self.rest[np.isin(self.codes[self.rest], own)])
+        return np.unique(np.concatenate(found))
 
     def score(self, text: str | None) -> float:
         z = self.bias + float(self.weights[self.features(text)].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _g2(p: np.ndarray, q: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
+    whole = xlogx(n1 + n0) - xlogx(n1) - xlogx(n0)
+    return 2 * (xlogx(p) + xlogx(n1 - p) + xlogx(q) + xlogx(n0 - q) + whole - xlogx(p + q) - xlogx(n1 + n0 - p - q))
+
+
 def fit(rows: list[tuple[str | None, int]]) -> Model:
     """Fit on (text, label) rows that fit in memory."""
     y = np.array([label for _, label in rows], dtype=np.float64)
@@ -91,17 +119,21 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     none = Model(np.empty(0, np.uint64), np.empty(0), float(np.log((n1 + 1) / (n0 + 1))))
     if not n1 or not n0:
         return none
-    sets = [np.unique(np.concatenate([*grams(t), np.empty(0, np.uint64)])) for t, _ in rows]
-    count = []
-    for label in (1, 0):
-        own = [s for s, v in zip(sets, y, strict=True) if v == label]
-        count.append(np.unique(np.concatenate(own), return_counts=True))
-    (c1, k1), (c0, k0) = count
-    codes = np.union1d(c1, c0)
+    # First counts by slot, to leave out in bounded memory what can't be significant; then exact ones of what is left.
+    bits = 22
+    slots = np.zeros((2, 1 << bits), dtype=np.int32)
+    distinct = lambda text: np.unique(np.concatenate([*grams(text), np.empty(0, np.uint64)]))
+    for text, label in rows:
+        slots[label][np.unique(_slot(distinct(text), bits))] += 1
+    often = np.flatnonzero(slots.sum(axis=0) >= 4)
+    keep = np.zeros(1 << bits, dtype=bool)
+    keep[often] = _g2(slots[1][often].astype(np.float64), slots[0][often].astype(np.float64), n1, n0) >= MIN_G2 / 2
+    sets = [(s := distinct(text))[keep[_slot(s, bits)]] for text, _ in rows]
+    codes = np.unique(np.concatenate(sets))
     p, q = np.zeros(len(codes)), np.zeros(len(codes))
-    p[np.searchsorted(codes, c1)], q[np.searchsorted(codes, c0)] = k1, k0
-    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
-    g2 = 2 * (xlogx(p) + xlogx(n1 - p) + xlogx(q) + xlogx(n0 - q) + xlogx(n1 + n0) - xlogx(p + q) - xlogx(n1 + n0 - p - q) - xlogx(np.full_like(p, n1)) - xlogx(np.full_like(p, n0)))
+    for s, label in zip(sets, y, strict=True):
+        (p if label else q)[np.searchsorted(codes, s)] += 1
+    g2 = _g2(p, q, n1, n0)
     ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
     best = np.lexsort((codes, -g2))[:MAX_FEATURES]
     best = np.sort(best[g2[best] >= MIN_G2])
@@ -140,11 +172,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 400)
 
 
 def train(docs: DataFrame, labels: DataFrame, where: Column | None = None) -> Model:
-    """Fit on the sample of labelled rows: of each class the MAX_ROWS first by a hash of doc_id that are within the size bounds."""
+    """Fit on the sample of labelled rows: of each class the MAX_ROWS first by a hash of doc_id
+    that are within the size bounds; the classes' rates of all labels set the intercept."""
     labels = labels.select("doc_id", F.col("toxic").alias("label")).where(F.col("label").isin(0, 1)).dropna()
     labels = labels if where is None else labels.where(where)
     order = F.xxhash64("doc_id")
-    picked = labels.where("label = 1").orderBy(order, "doc_id").limit(MAX_ROWS).union(labels.where("label = 0").orderBy(order, "doc_id").limit(MAX_ROWS))
+    rate = labels.agg(F.sum("label"), F.count("*")).first()
+    picked = labels.where("label = 1").orderBy(order, "doc_id").limit(MAX_ROWS[1]).union(labels.where("label = 0").orderBy(order, "doc_id").limit(MAX_ROWS[0]))
     own = docs.select("doc_id", "text")
     sizes = own.join(F.broadcast(picked), "doc_id").select("doc_id", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
     chosen, total = [], 0
@@ -158,7 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None) -> Mo
     chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")
     rows = [(r.doc_id, r.text, r.label) for r in own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()]
     rows.sort(key=lambda r: (r[0], r[1] or "", r[2]))
-    return fit([r[1:] for r in rows])
+    model = fit([r[1:] for r in rows])
+    own = sum(r[2] for r in rows)
+    if 0 < own < len(rows):
+        ones, all_ = float(rate[0]), float(rate[1])
+        model.bias += float(np.log(ones / max(1, all_ - ones)) - np.log(own / (len(rows) - own)))
+    return model
 
 
 def score_column(spark: SparkSession, model: Model, text: str = "text") -> Column:

@@ -9,9 +9,10 @@ then mostly held by other links of its group.
 1. Documents with equal shingle sets are one class, whose smallest doc_id stands for it; nothing below sees its copies.
 2. The keys of all classes are aggregated to the smallest class of each key; keys of one class only are dropped.
 3. Each class is compared with the closest of those smallest ones. The confirmed links form components.
-4. Within keys that span components still, all pairs across components are compared by signature, in cells of bounded size;
-   those within RADIUS are confirmed on full sets. Pairs inside a component are already decided, so a dense group never
-   spreads into all its pairs; no pair across components is skipped.
+4. Within keys that span components still, classes are compared across components by signature, in cells of bounded size:
+   first, in NEAREST rounds, each with the closest one outside its component; then all pairs within RADIUS, and within FAR
+   of a longer signature (4.5 deviations above the mean at the threshold). They are confirmed on full sets. Pairs inside a
+   component are already decided, so a dense group never spreads into all its pairs; no pair across components is skipped.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; texts of under five words have
 one shingle, the whole sequence; rows that share a doc_id and text are judged alike; ties go to the smaller doc_id; an empty
@@ -33,6 +34,9 @@ from seqloom.llm import common, shingles
 
 SIMILARITY = 85
 CELL = 256
+NEAREST = 2
+#: Symbols of the longer signature.
+LONG = 256
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,8 +52,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles.of(text.as_py()).tobytes() for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+        sets = [shingles.of(text.as_py()) for text in batch.column(1)]
+        arrays = [batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([shingles.signature(x, LONG).tobytes() for x in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["id", "set", "long"])
 
 
 @F.pandas_udf(T.IntegerType())
@@ -92,24 +97,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").where(_link_of(percent)("x", "y")).select("a", "b")
 
 
-def _across(percent: int):  # noqa: ANN202
-    """Pairs of a cell that lie in different components, are near enough by signature and size, and whose first common key this is."""
+def _across(percent: int, nearest: bool):  # noqa: ANN202
+    """Pairs (a, b) of a cell, and how many symbols differ, that lie in different components, are near enough by size and
+    signature, and whose first common key this is. nearest: of each class only the pair with the closest one."""
+    share = percent / 100
+    bound = int(LONG * (1 - share) + 4.5 * (LONG * share * (1 - share)) ** 0.5)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
+            left, right, far = [], [], []
             for key_id, same, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 f = rows.values
                 rep, comp, n, block = (f.field(k).to_numpy() for k in ("rep", "comp", "n", "block"))
-                sig = np.frombuffer(b"".join(f.field("sig").to_pylist()), dtype=np.uint16).reshape(len(rep), shingles.SYMBOLS)
+                sig, long = (np.frombuffer(b"".join(f.field(k).to_pylist()), dtype=np.uint16).reshape(len(rep), -1) for k in ("sig", "long"))
                 chunk, out = divmod(key_id, shingles.CHUNK)
                 for k in range(len(rep)):
-                    if same:
-                        other = np.arange(k + 1, len(rep))
-                    elif block[k] == block.min():
-                        other = np.flatnonzero(block != block[k])
-                    else:
+                    if not same and not nearest and block[k] != block.min():
                         continue
+                    other = np.arange(0 if nearest else k + 1, len(rep)) if same else np.flatnonzero(block != block[k])
                     lo, hi = np.minimum(n[other], n[k]), np.maximum(n[other], n[k])
                     other = other[(comp[other] != comp[k]) & (100 * lo >= percent * hi)]
                     if not len(other):
@@ -117,10 +122,17 @@ def _across(percent: int):  # noqa: ANN202
                     wrong = (sig[other] != sig[k]).reshape(len(other), shingles.CHUNKS, shingles.CHUNK)
                     each = wrong.sum(axis=2)
                     ok = (each.sum(axis=1) <= shingles.RADIUS) & ((each <= 1).argmax(axis=1) == chunk) & (wrong[:, chunk].argmax(axis=1) == out)
-                    for m in other[ok]:
-                        left.append(min(rep[k], rep[m]))
-                        right.append(max(rep[k], rep[m]))
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                    other = other[ok]
+                    away = (long[other] != long[k]).sum(axis=1)
+                    other, away = other[away <= bound], away[away <= bound]
+                    if nearest and len(other):
+                        best = np.lexsort((rep[other], away))[:1]
+                        other, away = other[best], away[best]
+                    left.append(np.full(len(other), rep[k]))
+                    right.append(rep[other])
+                    far.append(away)
+            join = lambda parts: pa.array(np.concatenate([np.empty(0, np.int64), *parts]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([join(left), join(right), join(far)], ["a", "b", "far"])
 
     return cells
 
@@ -143,6 +155,17 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
 
 
+def _merged(spark: SparkSession, first: DataFrame, links: DataFrame) -> DataFrame:
+    """The components `first` (id, comp) after more links (a, b)."""
+    name = lambda c: first.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
+    edges = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).distinct()
+    second = components(spark, edges).select(F.col("id").alias("old"), F.col("comp").alias("new"))
+    second = common.settle(spark, second, "merged")
+    kept = first.join(second, first["comp"] == second["old"], "left").select("id", F.coalesce("new", "comp").alias("comp"))
+    added = second.join(first, second["old"] == first["id"], "left_anti").select(F.col("old").alias("id"), F.col("new").alias("comp"))
+    return common.settle(spark, kept.unionByName(added), "components")
+
+
 def find(spark: SparkSession, docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     common.prepare(spark)
@@ -155,7 +178,7 @@ def find(spark: SparkSession, docs: DataFrame, percent: int = SIMILARITY) -> Dat
     least = keys.groupBy("key", "id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "id", "lo")
     shared = common.settle(spark, keys.join(least, ["key", "id"]), "shared")
     involved = shared.select(F.col("rep").alias("doc_id")).distinct()
-    sets = own.join(involved, "doc_id").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"])
+    sets = own.join(involved, "doc_id").mapInArrow(_sets, "id long, set binary, long binary").dropDuplicates(["id"])
     sets = common.settle(spark, sets, "sets")
 
     brief = classes.select("rep", "n", "sig")
@@ -165,23 +188,27 @@ def find(spark: SparkSession, docs: DataFrame, percent: int = SIMILARITY) -> Dat
     near = sized(near.join(of("a"), "a").join(of("b"), "b")).withColumn("far", _distance("a_sig", "b_sig")).where(F.col("far") <= shingles.RADIUS)
     near = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     linked = common.settle(spark, _confirmed(near, sets, percent), "linked")
-    first = common.settle(spark, components(spark, linked), "components")
-
-    placed = shared.join(first, shared["rep"] == first["id"], "left").select("key", shared["id"], "rep", F.coalesce("comp", "rep").alias("comp"))
-    mixed = placed.groupBy("key", "id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    cells = F.ceil(F.col("size") / CELL).cast("int")
-    members = placed.join(mixed.select("key", "id", cells.alias("cells")), ["key", "id"]).join(brief, "rep")
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    members = members.withColumn("i", F.least("block", "to")).withColumn("j", F.greatest("block", "to"))
-    cell = members.groupBy("key", "id", "i", "j").agg(F.collect_list(F.struct("rep", "comp", "n", "block", "sig")).alias("rows"))  # about 2 * CELL rows
-    across = cell.where(F.size("rows") > 1).select("id", (F.col("i") == F.col("j")).alias("same"), "rows").mapInArrow(_across(percent), "a long, b long")
-    more = common.settle(spark, _confirmed(across, sets, percent), "linked")
-    name = lambda c: first.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
-    joined = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).distinct()
-    second = components(spark, joined).select(F.col("id").alias("comp1"), F.col("comp").alias("comp2"))
-
-    reps = classes.select("digest", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp1", F.coalesce("comp", "rep"))
-    reps = reps.join(second, "comp1", "left").select("digest", F.coalesce("comp2", "comp1").alias("component_id"))
+    placed = common.settle(spark, components(spark, linked), "components")
+
+    signs = brief.join(sets.select(F.col("id").alias("rep"), "long"), "rep")
+    for nearest in [True] * NEAREST + [False]:
+        at = shared.join(placed, shared["rep"] == placed["id"], "left").select("key", shared["id"], "rep", F.coalesce("comp", "rep").alias("comp"))
+        mixed = at.groupBy("key", "id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+        mixed = mixed.select("key", "id", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
+        members = at.join(mixed, ["key", "id"]).join(signs, "rep")
+        members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+        members = members.withColumn("i", F.least("block", "to")).withColumn("j", F.greatest("block", "to"))
+        cell = members.groupBy("key", "id", "i", "j").agg(F.collect_list(F.struct("rep", "comp", "n", "block", "sig", "long")).alias("rows"))  # about 2 * CELL rows
+        pairs = cell.where(F.size("rows") > 1).select("id", (F.col("i") == F.col("j")).alias("same"), "rows").mapInArrow(_across(percent, nearest), "a long, b long, far long")
+        if nearest:
+            pairs = pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = common.settle(spark, _confirmed(pairs, sets, percent), "linked")
+        if links.isEmpty():
+            continue
+        placed = _merged(spark, placed, links)
+
+    reps = classes.select("digest", "rep").join(placed, classes["rep"] == placed["id"], "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
     out = signed.select("doc_id", "n", "digest").join(reps, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -15,7 +16,6 @@ CHUNKS, CHUNK = 11, 6
 SYMBOLS, RADIUS = CHUNKS * CHUNK, 2 * CHUNKS - 1
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _PLACE = _RNG.integers(0, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTOR = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CACHE_WORDS = 300_000
 
 
@@ -32,6 +32,11 @@ class _Words(dict):
 _words = _Words()
 
 
+@lru_cache
+def _factors(symbols: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(20240301)).integers(0, 2**63, symbols, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -56,10 +61,12 @@ def of(text: str | None) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def signature(shingles: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
+    """The first `symbols` symbols of a document's endless signature."""
+    factor = _factors(symbols)
+    least = np.full(symbols, np.iinfo(np.uint64).max, dtype=np.uint64)
     for k in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[k : k + 1024, None] * _FACTOR).min(axis=0), out=least)
+        np.minimum(least, (shingles[k : k + 1024, None] * factor).min(axis=0), out=least)
     return mix(least).astype(np.uint16)
 
 

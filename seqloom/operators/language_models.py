@@ -88,7 +88,7 @@ def discounts(model: DataFrame) -> DataFrame:
 
     def one(k: int) -> Column:
         d = k - (k + 1) * y * F.try_divide(double(f"n{k + 1}"), double(f"n{k}"))
-        return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), d)), F.lit(0.75)).alias(f"d{k}")
+        return F.when(d.isNull(), 0.75).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), d))).alias(f"d{k}")
 
     return own.select("n", "n1", "n2", "n3", "n4", one(1), one(2), one(3))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.stats import double
+from seqloom.sources.storage import cut
 
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -58,16 +59,14 @@ def substitutions(forms: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, component (smallest node reachable) by label passing until nothing changes; every fourth round is checkpointed
-    where a checkpoint folder is set."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    """node, component (smallest node reachable) by label passing until nothing changes; every second round is checkpointed."""
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node")
     before = None
     for k in range(rounds):
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("low"))
         label = label.join(near, label["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"))
-        if k % 4 == 3 and edges.sparkSession.sparkContext.getCheckpointDir():
-            label = label.checkpoint()
+        label = cut(label) if k % 2 else label
         state = label.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()[0]
         if state == before:
             break

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.plans import contrasts, models, registry, statistics  # noqa: F401
+from seqloom.plans import contrasts, models, registry, scalars, statistics, structures  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -104,32 +104,32 @@ def oov_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return lm.out_of_vocabulary(t, lm.train(t.where("stratum = 'en'"), 1))
 
 
-# Users' first six events as words of one letter a type.
+# The distinct daily event sequences of users, as words of one letter a type.
 _WORDS = """al AS (SELECT tok, substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', row_number() OVER (ORDER BY tok)::INT, 1) AS c FROM (SELECT DISTINCT tok FROM ue)),
- wd AS (SELECT tablet, string_agg(c, '' ORDER BY pos) AS word FROM ue JOIN al USING (tok) WHERE pos < 6 GROUP BY tablet)"""
+ dy AS (SELECT tablet, string_agg(c, '' ORDER BY pos) AS word FROM ue JOIN al USING (tok) GROUP BY tablet, ts::DATE), wd AS (SELECT DISTINCT word AS tablet, word FROM dy)"""
 
 
-def _words(spark: SparkSession, d: str) -> DataFrame:
-    return al.lettered(src.user_events(spark, d).where("pos < 6"))
+def _days(spark: SparkSession, d: str) -> DataFrame:
+    return al.lettered(src.user_events(spark, d).withColumn("tablet", F.struct("tablet", F.to_date("ts").alias("day"))))
 
 
-@query(f"WITH {_WORDS} SELECT a.tablet AS a, b.tablet AS b, levenshtein(a.word, b.word)::INT AS distance FROM wd a JOIN wd b ON a.tablet < b.tablet WHERE levenshtein(a.word, b.word) <= 2", "ue")
+@query(f"WITH {_WORDS} SELECT a.tablet AS a, b.tablet AS b, levenshtein(a.word, b.word)::INT AS distance FROM wd a JOIN wd b ON a.tablet < b.tablet WHERE levenshtein(a.word, b.word) <= 1", "ue")
 def lev_band_join(spark: SparkSession, d: str) -> DataFrame:
-    return al.similar(_words(spark, d), 2)
+    return al.similar(_days(spark, d).select(F.col("word").alias("tablet"), "word").distinct(), 1)
 
 
-@query(f"WITH {_WORDS}, g AS (SELECT substr(word, 1, 4) AS head, tablet FROM wd) SELECT head, count(*) AS n, count(DISTINCT tablet) AS tablets FROM g GROUP BY head HAVING count(DISTINCT tablet) >= 2", "ue")
+@query(f"WITH {_WORDS} SELECT word, count(*) AS n, count(DISTINCT tablet) AS tablets FROM dy GROUP BY word HAVING count(DISTINCT tablet) >= 2", "ue")
 def passage_multi_group(spark: SparkSession, d: str) -> DataFrame:
-    return al.equal_groups(_words(spark, d).select(F.substring("word", 1, 4).alias("head"), "tablet"), "head")
+    return al.equal_groups(_days(spark, d).select("word", F.col("tablet.tablet").alias("tablet")), "word")
 
 
-# Orders as forms of their brands, one passage by the priority and number of lines.
+# Orders as forms of their brands' last digits, one passage by the priority and number of lines.
 _FORMS = """fm AS (SELECT concat(o_orderpriority, '-', any_value(n)) AS passage, l_orderkey AS tablet, l_orderkey AS ord, CASE WHEN l_orderkey % 2 = 0 THEN 'pre' ELSE 'post' END AS stratum, list(substr(p_brand, 7, 1) ORDER BY l_linenumber, l_partkey) AS form
- FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey, o_orderpriority)"""
+ FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, o_orderpriority)"""
 
 
 def _forms(spark: SparkSession, d: str) -> DataFrame:
-    item = src.read(spark, d, "lineitem").where("l_orderkey % 5 = 0").join(src.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    item = src.read(spark, d, "lineitem").join(src.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     form = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.substring("p_brand", 7, 1).alias("b")))), lambda x: x["b"])
     own = item.groupBy(F.col("l_orderkey").alias("tablet")).agg(form.alias("form"), F.count("*").alias("n"))
     own = own.join(src.read(spark, d, "orders"), F.col("tablet") == F.col("o_orderkey"))
@@ -173,14 +173,14 @@ def omission_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT l_suppkey % 40 AS cls, list(DISTINCT l_partkey % 100) AS members FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY ALL), g AS (SELECT l_suppkey % 30 AS cls, list(DISTINCT l_partkey % 100) AS members FROM lineitem WHERE l_orderkey % 50 = 1 GROUP BY ALL),
+    """WITH f AS (SELECT p_brand AS cls, list(DISTINCT p_size) AS members FROM part GROUP BY ALL), g AS (SELECT p_type AS cls, list(DISTINCT p_size) AS members FROM part GROUP BY ALL),
  j AS (SELECT f.cls, g.cls AS ref, len(list_intersect(f.members, g.members)) / len(list_distinct(f.members || g.members))::DOUBLE AS jaccard FROM f, g), r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY jaccard DESC, ref) AS k FROM j WHERE jaccard > 0)
  SELECT cls, ref, round(jaccard, 6) AS jaccard FROM r WHERE k = 1"""
 )
 def jaccard_best_class(spark: SparkSession, d: str) -> DataFrame:
-    own = src.read(spark, d, "lineitem")
-    of = lambda r, m: own.where(f"l_orderkey % 50 = {r}").groupBy((F.col("l_suppkey") % m).alias("cls")).agg(F.collect_set(F.col("l_partkey") % 100).alias("members"))
-    return rounded(al.best_overlap(of(0, 40), of(1, 30)))
+    own = src.read(spark, d, "part")
+    of = lambda c: own.groupBy(F.col(c).alias("cls")).agg(F.collect_set("p_size").alias("members"))
+    return rounded(al.best_overlap(of("p_brand"), of("p_type")))
 
 
 @query()
@@ -193,7 +193,7 @@ _DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
 
 @query(
-    f"""WITH o AS (SELECT stratum, tok, row_number() OVER (PARTITION BY stratum ORDER BY tablet, pos) - 1 AS place, count(*) OVER (PARTITION BY stratum) AS n FROM pb WHERE tablet % 20 = 0),
+    f"""WITH o AS (SELECT stratum, tok, row_number() OVER (PARTITION BY stratum ORDER BY tablet, pos) - 1 AS place, count(*) OVER (PARTITION BY stratum) AS n FROM pb),
  r AS (SELECT stratum, replica, {_DRAW.format("'42:' || replica || ':' || place")} % n AS pick FROM o, (SELECT unnest(range(20)) AS replica)),
  c AS (SELECT stratum, replica, tok, count(*) AS f FROM r JOIN (SELECT stratum AS s, place, tok FROM o) o ON s = stratum AND place = pick GROUP BY ALL),
  b AS (SELECT stratum, replica, sum(f::DOUBLE * (f - 1)) / (sum(f)::DOUBLE * (sum(f) - 1)) AS ic FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY ic, replica) - 1 AS k FROM b)
@@ -201,7 +201,7 @@ _DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
     "pb",
 )
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rs.interval(rs.bootstrap(src.part_baskets(spark, d).where("tablet % 20 = 0"), 20, 42, "stratum"), "ic", 0.89, "stratum"))
+    return rounded(rs.interval(rs.bootstrap(src.part_baskets(spark, d), 20, 42, "stratum"), "ic", 0.89, "stratum"))
 
 
 _NULL = f"""sh AS (SELECT replica, tablet, tok, row_number() OVER (PARTITION BY replica, tablet ORDER BY {_DRAW.format("'7:' || replica || ':' || tablet || ':' || (pos // {b})")}, pos // {{b}}, pos) - 1 AS pos FROM ue, (SELECT unnest(range(19)) AS replica)),

@@ -13,8 +13,8 @@ Defined cases: a null text is an empty one, which has one token, its end; rows t
 held-out rows teach nothing, rows without doc_id are not held out; with nothing to learn from, all words are unseen; ties in
 frequency go to the smaller word; empty tables give empty results; other columns aren't read.
 
-Plan: words are counted in the tasks before they are shuffled. KEEP frequent words with their counts are broadcast, a fixed
-number; the counts of all other words reach the texts by a join on the word, in which no word is frequent. Every training
+Plan: words are counted in the tasks before they are shuffled. The frequent words, KEEP at most, are broadcast with their
+counts; the counts of all other words reach the texts by a join on the word, in which no word is frequent. Every training
 document takes part in training with one position in STRIDE, each task from the same start; the tasks' parameters are
 averaged by an aggregation over parameter numbers, in ROUNDS rounds.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import common
 
-MODEL_WORDS, BUCKETS, KEEP, WIDTH = 1200, 400, 200_000, 24
+MODEL_WORDS, BUCKETS, KEEP, WIDTH = 1200, 400, 120_000, 24
 STRIDE, ROUNDS, BATCH, NOISE, RATIO, RATE = 8, 2, 2048, 64, 16.0, 0.05
 SMOOTH_WORDS = 250_000
 END = b""
@@ -90,19 +90,28 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where(F.col("word") == F.lit(END)).first()
     words = counts.where(F.col("word") != F.lit(END))
-    top = words.orderBy(F.desc("n"), "word").limit(KEEP).collect()
+    # Classes of near counts; the highest that hold KEEP words at most together. No task sends more than its share of these.
+    near = F.floor(16 * F.log2(F.col("n").cast("double"))).cast("int")
+    least, held = None, 0
+    for r in sorted(words.groupBy(near.alias("k")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        held += r.words
+        if held > KEEP:
+            break
+        least = r.k
+    kept = words.where(near >= least).select("word", "n").toArrow() if least is not None else pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+    top = sorted(zip(kept["word"].to_pylist(), kept["n"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
     n_model = min(MODEL_WORDS, len(top))
-    own = [bytes(r.word) for r in top]
+    own = [w for w, _ in top]
     tokens, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = F.col("word")
     suffix = F.substring(at, -2, 2)
     for r in words.groupBy((F.crc32(suffix) % BUCKETS).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         tokens[r.b], kinds[r.b] = r.n, r.k
-    for r in top[:n_model]:
-        b = bucket(bytes(r.word))
-        tokens[b] -= r.n
+    for word, n in top[:n_model]:
+        b = bucket(word)
+        tokens[b] -= n
         kinds[b] -= 1
-    found = Vocabulary(own, np.array([r.n for r in top], dtype=np.float64), n_model, tokens, kinds, int(total), int(types))
+    found = Vocabulary(own, np.array([n for _, n in top], dtype=np.float64), n_model, tokens, kinds, int(total), int(types))
     found.ends = int(ends.n) if ends else 0
     return found
 

@@ -9,3 +9,20 @@ from pyspark.sql import functions as F
 def top_k(rows: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
     """The first k rows of each group, with their rank; Spark limits groups before the shuffle too."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def interval_join(left: DataFrame, right: DataFrame, key: str, at: str, other: str, seconds: int) -> DataFrame:
+    """Rows of right at most `seconds` before a row of left: both meet in time buckets of that width, an equality join."""
+    bucket = lambda c: F.floor(F.unix_seconds(F.col(c)) / seconds)
+    a = left.withColumn("__b", F.explode(F.array(bucket(at), bucket(at) - 1)))
+    b = right.withColumn("__b", bucket(other))
+    width = F.make_interval(secs=F.lit(seconds))
+    return a.join(b, [key, "__b"]).where((F.col(other) <= F.col(at)) & (F.col(other) >= F.col(at) - width)).drop("__b")
+
+
+def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, name: str) -> DataFrame:
+    """left with the value of the latest row of right at or before it: one union, one sort, no pairs."""
+    both = left.withColumn("__v", F.lit(None).cast(right.schema[value].dataType)).withColumn("__left", F.lit(1))
+    both = both.unionByName(right.select(*[F.col(c) if c in (*by, at) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.col(value).alias("__v"), F.lit(0).alias("__left")))
+    w = Window.partitionBy(*by).orderBy(at, "__left").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(name, F.last("__v", ignorenulls=True).over(w)).where("__left = 1").drop("__v", "__left")

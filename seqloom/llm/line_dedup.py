@@ -1,17 +1,20 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-A text is its lines, cut at newlines. Each line has a hash; a rolling hash over WINDOW lines ends a chunk where it falls in
-one of CUT classes, so boundaries depend on nearby lines only and a passage keeps its chunks wherever it is moved. Of the
-chunks of two lines or more (and MIN_BYTES bytes, as two very short lines meet by chance), those with equal bytes count as
-one; its first place, the smallest (doc_id, chunk number), stays and every other is removed.
-
-Defined cases: null and empty texts have no such chunk and stay as they are; repeated rows of one doc_id are treated alike,
-by their first text; copies of a document keep only what lies in chunks of one line; an empty table gives an empty table;
-other columns, whatever their names, come through unchanged, but for `n_chars`, which follows the new text where it exists.
-
-Plan: hashes alone go through the first aggregation, with partial sums, so a chunk that is everywhere costs one row a task.
-Only the places of repeated chunks are joined with their first place (a sort-merge join that splits skewed keys); bytes are
-compared there. Texts go through one shuffle, to meet the chunks that they lose.
+A text is its lines, cut at newlines. Each line has a hash; each of BITS bits of a rolling hash over WINDOW lines puts the
+place after each line into one of two classes, and each class of places cuts the text into chunks of its own. Boundaries so
+depend on nearby lines only, a passage keeps its chunks wherever it is moved, and most of its lines lie in a chunk of two lines
+or more that begins and ends within it. Of such chunks (of MIN_BYTES bytes, as two very short lines meet by chance), those with equal bytes
+count as one; its first place, the smallest (doc_id, line), stays, and at every other its lines are removed. A removed line
+always has an equal one at an earlier place, and the earliest is never removed.
+
+Defined cases: null and empty texts have no such chunk and stay as they are; rows repeated whole are treated alike and keep
+what each other holds, rows that share a doc_id only are told apart by their texts; a copy of a document keeps the lines that
+lie in no long chunk; an empty table gives an empty table; other columns, whatever their names, come through unchanged, but
+for `n_chars`, which follows the new text where it exists.
+
+Plan: hashes alone go through the aggregation, with partial sums, so a chunk that is everywhere costs one row a task, and
+through a join that splits skewed keys. Texts go through one shuffle by document, used twice: to fetch the bytes of the first
+place of each repeated chunk, and to compare and remove. No text moves but that and the bytes of repeated chunks.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import common
 
-WINDOW, CUT, MIN_LINES, MIN_BYTES = 2, 2, 2, 40
+WINDOW, BITS, MIN_LINES, MIN_BYTES = 2, 3, 2, 40
 
 
 def line_hash(line: Column) -> Column:
@@ -35,74 +38,91 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def chunks(text: Column) -> Column:
-    """The text's chunks in order, as an array of their texts; joined by newlines they are the text."""
+def _adder(factor: int) -> Callable[[Column, Column], Column]:
+    return lambda a, b: a + b * factor
+
+
+def _ends(hashes: Column) -> Column:
+    """For each class the numbers, from 1, of the lines that end its chunks."""
     none = F.lit(None).cast("long")
+    # Rolling: the sum of the hashes of a window, times odd factors by place; null before the first whole window.
+    rolled = hashes
+    for k in range(1, WINDOW):
+        rolled = F.zip_with(rolled, F.concat(F.array(*[none] * k), hashes), _adder(2 * k + 1))
 
-    def ends(hashes: Column) -> Column:
-        # Rolling: the sum of the hashes of a window, times odd factors by place; null before the first whole window.
-        rolled = hashes
-        for k in range(1, WINDOW):
-            before = F.concat(F.array(*[none] * k), hashes)
-            rolled = F.zip_with(rolled, before, _adder(2 * k + 1))
-        at = F.sequence(F.lit(1), F.size(hashes))
-        cut = F.zip_with(F.slice(rolled, 1, F.size(hashes)), at, lambda r, i: F.when((i == F.size(hashes)) | (F.shiftright(r, 3) % CUT == 0), i))
-        return F.filter(cut, lambda i: i.isNotNull())
+    def of(bit: int, which: int) -> Callable[[Column], Column]:
+        return lambda c: F.filter(F.transform(c, lambda x, i: F.when((F.shiftright(x, 3 + bit) % 2 == which) | (i == F.size(c) - 1), i + 1)), lambda i: i.isNotNull())
 
-    def texts(lines: Column) -> Column:
-        return _let(
-            _let(F.transform(lines, line_hash), ends),
-            lambda last: F.transform(last, lambda e, k: _joined(lines, F.when(k == 0, 0).otherwise(F.get(last, k - 1)), e)),
-        )
+    return _let(F.slice(rolled, 1, F.size(hashes)), lambda c: F.array(*[of(bit, which)(c) for bit in range(BITS) for which in (0, 1)]))
 
-    return _let(F.split(text, "\n", -1), texts)
 
+def chunks(text: Column) -> Column:
+    """Array of structs of the chunks that may be removed: start (from 0), size, and a hash of the bytes."""
+
+    def taken(lines: Column) -> Column:
+        def one(last: Column) -> Column:
+            start = lambda k: F.when(k == 0, 0).otherwise(F.get(last, k - 1))
+            spans = F.transform(last, lambda e, k: F.struct(start(k).alias("start"), (e - start(k)).alias("size")))
+            long = F.filter(spans, lambda s: s["size"] >= MIN_LINES)
+            texts = F.transform(long, lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), piece(lines, s["start"], s["size"]).alias("t")))
+            fit = F.filter(texts, lambda s: F.octet_length(s["t"]) >= MIN_BYTES)
+            return F.transform(fit, lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), F.xxhash64(s["t"]).alias("hash")))
+
+        return F.array_distinct(F.flatten(F.transform(_let(F.transform(lines, line_hash), _ends), one)))
+
+    return _let(F.split(text, "\n", -1), taken)
 
-def _adder(factor: int) -> Callable[[Column, Column], Column]:
-    return lambda a, b: a + b * factor
 
+def piece(lines: Column, start: Column, size: Column) -> Column:
+    return F.array_join(F.slice(lines, start + 1, size), "\n")
 
-def _joined(lines: Column, after: Column, last: Column) -> Column:
-    return F.array_join(F.slice(lines, after + 1, last - after), "\n")
 
+def _places(docs: DataFrame) -> DataFrame:
+    """A row for each chunk: hash and its place, with the version of the document's text."""
+    own = docs.where(F.col("doc_id").isNotNull() & F.contains("text", F.lit("\n")))
+    own = own.select("doc_id", F.xxhash64("text").alias("version"), F.explode(chunks(F.col("text"))).alias("c"))
+    return own.select("c.hash", F.struct("doc_id", "c.start", "version", "c.size").alias("place"))
 
-def spread(docs: DataFrame) -> DataFrame:
-    """A row for each chunk that may be removed: doc_id, no, chunk."""
-    own = docs.where(F.col("doc_id").isNotNull() & F.contains("text", F.lit("\n"))).select("doc_id", chunks(F.col("text")).alias("chunks"))
-    own = own.select("doc_id", F.posexplode("chunks").alias("no", "chunk"))
-    return own.where(F.contains("chunk", F.lit("\n")) & (F.octet_length("chunk") >= MIN_BYTES))
+
+def _versions(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__version", F.xxhash64("text"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, no, chunk of each place of a chunk but its first."""
-    places = spread(docs).withColumn("hash", F.xxhash64("chunk"))
-    first = places.groupBy("hash").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.max(F.struct("doc_id", "no")).alias("last"))
-    first = first.where("first < last")
-    held = places.join(first, "hash")
-    # Bytes decide: within a hash, each distinct text has a first place of its own.
-    firsts = held.groupBy("hash", "chunk").agg(F.min(F.struct("doc_id", "no")).alias("own"))
-    found = held.select("hash", "chunk", "doc_id", "no").join(firsts, ["hash", "chunk"])
-    return found.where(F.struct("doc_id", "no") > F.col("own")).select("doc_id", "no", "chunk")
+    """For each document that loses chunks: doc_id, version, gone: their starts, sizes and the bytes of their first places."""
+    places = _places(docs)
+    first = places.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("(first.doc_id, first.start) < (last.doc_id, last.start)")
+    copies = places.join(first.select("hash", "first"), "hash").where("(place.doc_id, place.start) > (first.doc_id, first.start)").select("hash", "place")
+    wanted = first.select("first.doc_id", F.col("first.version").alias("version"), F.struct("first.start", "first.size", "hash").alias("w"))
+    wanted = wanted.groupBy("doc_id", "version").agg(F.collect_list("w").alias("wanted"))
+    texts = _versions(docs.select("doc_id", "text")).join(wanted.withColumnRenamed("version", "__version"), ["doc_id", "__version"])
+    lines = F.split("text", "\n", -1)
+    fetched = texts.select(F.explode(_let(lines, lambda ls: F.transform("wanted", lambda w: F.struct(w["hash"].alias("hash"), piece(ls, w["start"], w["size"]).alias("bytes"))))).alias("f"))
+    fetched = fetched.select("f.hash", "f.bytes").groupBy("hash").agg(F.min("bytes").alias("bytes"))
+    found = copies.join(fetched, "hash")
+    gone = F.collect_list(F.struct("place.start", "place.size", "bytes")).alias("__gone")
+    return found.groupBy("place.doc_id", "place.version").agg(gone).select("doc_id", F.col("version").alias("__version"), "__gone")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the repeated chunks taken out of their texts; all rows and columns stay."""
     names = docs.columns
-    gone = repeats(docs).groupBy("doc_id").agg(F.collect_set(F.struct("no", "chunk")).alias("__gone"))
-    both = docs.join(gone, "doc_id", "left")
-    left = F.filter(
-        F.transform(chunks(F.col("text")), lambda c, i: F.struct(i.alias("no"), c.alias("chunk"))),
-        lambda c: ~F.array_contains("__gone", c),
-    )
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda c: c["chunk"]), "\n"))
-    out = both.withColumn("text", text).drop("__gone")
+    both = _versions(docs).join(repeats(docs), ["doc_id", "__version"], "left")
+
+    def left(lines: Column) -> Column:
+        equal = F.filter("__gone", lambda g: piece(lines, g["start"], g["size"]) == g["bytes"])  # bytes decide
+        numbers = F.array_distinct(F.flatten(F.transform(equal, lambda g: F.sequence(g["start"], g["start"] + g["size"] - 1))))
+        return _let(numbers, lambda gone: F.filter(lines, lambda _, i: ~F.array_contains(gone, i)))
+
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(_let(F.split("text", "\n", -1), left), "\n"))
+    out = both.withColumn("text", text).drop("__gone", "__version")
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, text after removal, and how many chunks and characters went."""
+    """doc_id, text after removal, and how many characters went."""
     common.prepare(spark)
     return dedup(docs.select("doc_id", "text", F.length("text").alias("was"))).select("doc_id", "text", (F.col("was") - F.length("text")).cast("long").alias("removed_chars"))
 
@@ -110,10 +130,11 @@ def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
 ORACLE_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
-r AS (SELECT *, coalesce((((h + 3 * lag(h) OVER (PARTITION BY doc_id ORDER BY i)) >> 3) % {CUT}) = 0, false) AS cut FROM h),
-c AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM r),
-k AS (SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n FROM c GROUP BY doc_id, no),
-m AS (SELECT *, n >= {MIN_LINES} AND octet_length(encode(chunk)) >= {MIN_BYTES} AND row_number() OVER (PARTITION BY chunk, n >= {MIN_LINES} ORDER BY doc_id, no) > 1 AS gone FROM k),
-t AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text FROM m GROUP BY doc_id)
+r AS (SELECT *, (h + 3 * lag(h) OVER (PARTITION BY doc_id ORDER BY i)) >> 3 AS cls FROM h),
+p AS (SELECT r.*, phase, coalesce(sum(((cls >> (phase // 2)) % 2 = phase % 2)::INT) OVER (PARTITION BY doc_id, phase ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM r, (SELECT unnest(range({2 * BITS})) AS phase)),
+k AS (SELECT doc_id, phase, no, min(i) AS i0, max(i) AS i1, string_agg(line, chr(10) ORDER BY i) AS chunk FROM p GROUP BY doc_id, phase, no HAVING count(*) >= {MIN_LINES}),
+f AS (SELECT *, min((doc_id, i0)) OVER (PARTITION BY chunk) AS first FROM k WHERE octet_length(encode(chunk)) >= {MIN_BYTES}),
+g AS (SELECT DISTINCT doc_id, unnest(range(i0, i1 + 1)) AS i FROM f WHERE (doc_id, i0) > first),
+t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE g.i IS NULL), '') AS text FROM l LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
 SELECT d.doc_id, t.text, (length(d.text) - length(t.text))::BIGINT AS removed_chars FROM documents d LEFT JOIN t USING (doc_id)
 """

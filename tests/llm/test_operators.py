@@ -37,26 +37,20 @@ def brute_lines(docs):
     """docs: {doc_id: text}; the texts after removal of repeated chunks."""
     from hashlib import md5
 
-    def chunks(text):
+    places = {}
+    for i, text in sorted(docs.items()):
         lines = text.split("\n")
         h = [int(md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        out = [[]]
-        for k, line in enumerate(lines):
-            out[-1].append(line)
-            if k + 1 < len(lines) and k >= 1 and ((h[k] + 3 * h[k - 1]) >> 3) % line_dedup.CUT == 0:
-                out.append([])
-        return ["\n".join(c) for c in out]
-
-    seen, out = set(), {}
-    for i, text in sorted(docs.items()):
-        left = []
-        for c in chunks(text):
-            if "\n" in c and len(c.encode()) >= line_dedup.MIN_BYTES and c in seen:
-                continue
-            seen.add(c)
-            left.append(c)
-        out[i] = "\n".join(left)
-    return out
+        for bit in range(line_dedup.BITS):
+            for which in (0, 1):
+                ends = [k + 1 for k in range(1, len(lines)) if ((h[k] + 3 * h[k - 1]) >> (3 + bit)) % 2 == which]
+                ends = [*[e for e in ends if e < len(lines)], len(lines)]
+                for a, b in zip([0, *ends], ends, strict=False):
+                    chunk = "\n".join(lines[a:b])
+                    if b - a >= line_dedup.MIN_LINES and len(chunk.encode()) >= line_dedup.MIN_BYTES:
+                        places.setdefault(chunk, set()).add((i, a, b))
+    gone = {(i, k) for own in places.values() for i, a, b in own if (i, a) > min(own)[:2] for k in range(a, b)}
+    return {i: "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone) for i, text in docs.items()}
 
 
 def test_lines_match_brute_force(spark):

@@ -11,7 +11,7 @@ then mostly held by other links of its group.
 3. Each class is compared with the closest of those smallest ones. The confirmed links form components.
 4. Within keys that span components still, classes are compared across components by signature, in cells of bounded size:
    first, in NEAREST rounds, each with the closest one outside its component; then all pairs within RADIUS, and within FAR
-   of a longer signature (4.5 deviations above the mean at the threshold). They are confirmed on full sets. Pairs inside a
+   of a longer signature (4 deviations above the mean at the threshold). They are confirmed on full sets. Pairs inside a
    component are already decided, so a dense group never spreads into all its pairs; no pair across components is skipped.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; texts of under five words have
@@ -99,9 +99,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _across(percent: int, nearest: bool):  # noqa: ANN202
     """Pairs (a, b) of a cell, and how many symbols differ, that lie in different components, are near enough by size and
-    signature, and whose first common key this is. nearest: of each class only the pair with the closest one."""
+    signature, and whose first common key this is. nearest: of each class only the pair with the closest one of a component
+    with a smaller id, so that a large component, which mostly has the smallest, asks for nothing."""
     share = percent / 100
-    bound = int(LONG * (1 - share) + 4.5 * (LONG * share * (1 - share)) ** 0.5)
+    bound = int(LONG * (1 - share) + 4 * (LONG * share * (1 - share)) ** 0.5)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +117,8 @@ def _across(percent: int, nearest: bool):  # noqa: ANN202
                         continue
                     other = np.arange(0 if nearest else k + 1, len(rep)) if same else np.flatnonzero(block != block[k])
                     lo, hi = np.minimum(n[other], n[k]), np.maximum(n[other], n[k])
-                    other = other[(comp[other] != comp[k]) & (100 * lo >= percent * hi)]
+                    apart = comp[other] < comp[k] if nearest else comp[other] != comp[k]
+                    other = other[apart & (100 * lo >= percent * hi)]
                     if not len(other):
                         continue
                     wrong = (sig[other] != sig[k]).reshape(len(other), shingles.CHUNKS, shingles.CHUNK)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import common
 
-_CACHE = 120_000
+_CACHE = 100_000
 #: Under this pattern a text may be cut before each space, provided that no space is followed by white space: a piece has a
 #: space at its start only, and of a run of white space before a word just the last space goes to the word.
 _CUT_AT_SPACES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -97,7 +97,7 @@ class Encoder:
         """Would merging the bytes of both by rank end in these two tokens?"""
         found = self.memo.get((left, right))
         if found is None:
-            if len(self.memo) >= 1_000_000:
+            if len(self.memo) >= 400_000:
                 self.memo.clear()
             found = self.memo[left, right] = self._compatible(left, right)
         return found
@@ -217,6 +217,7 @@ _made: dict[int, Encoder] = {}
 
 def _encoder(shared) -> Encoder:  # noqa: ANN001
     """One encoder a worker and vocabulary."""
+    common.working("bpe", _made.clear)
     key = hash((shared.value[2], len(shared.value[0]), shared.value[0][-1]))
     if key not in _made:
         _made[key] = Encoder(*shared.value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_caches: dict[str, Callable[[], object]] = {}
+
+
+def working(name: str, clear: Callable[[], object] | None = None) -> None:
+    """In a worker: work for this operator begins, so what others have cached in the process goes. clear: empties its own."""
+    if clear:
+        _caches[name] = clear
+    for other, empty in _caches.items():
+        if other != name:
+            empty()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

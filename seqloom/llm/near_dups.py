@@ -40,6 +40,7 @@ LONG = 256
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.working("shingles", shingles.forget)
     for batch in batches:
         ids, n, digests, sigs = batch.column(0), [], [], []
         for text in batch.column(1):
@@ -51,6 +52,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.working("shingles", shingles.forget)
     for batch in batches:
         sets = [shingles.of(text.as_py()) for text in batch.column(1)]
         arrays = [batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([shingles.signature(x, LONG).tobytes() for x in sets], pa.binary())]

@@ -16,7 +16,7 @@ CHUNKS, CHUNK = 11, 6
 SYMBOLS, RADIUS = CHUNKS * CHUNK, 2 * CHUNKS - 1
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _PLACE = _RNG.integers(0, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 120_000
 
 
 class _Words(dict):
@@ -32,6 +32,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 @lru_cache
 def _factors(symbols: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(20240301)).integers(0, 2**63, symbols, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -205,6 +205,7 @@ def score_column(spark: SparkSession, model: Model, text: str = "text") -> Colum
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.working("toxicity")
         own = Model(*shared.value)
         for texts in batches:
             yield pd.Series([own.score(t) for t in texts], dtype="float64")

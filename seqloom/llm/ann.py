@@ -10,9 +10,9 @@ shorter vectors count as padded with zeros; rows repeated whole count once; equa
 vec_id; ties go to the smaller vec_id; a query never finds its own vec_id; with fewer than k other vectors all are returned,
 found by a second, exact pass over all vectors for the queries that the tables leave short; empty tables give empty results.
 
-Plan: vectors and probes meet in cells of one bucket, or of a part of it: buckets hold a bounded block of vectors and of
-queries each, by counts that are aggregated first, so a crowded axis becomes many cells. A cell is a matrix product; it
-passes on k rows a query. No pair of a query and a vector becomes a row.
+Plan: vectors and probes meet in cells, which hold a bounded block of vectors and of queries each, by counts that are
+aggregated first: a crowded axis becomes many cells, and thin ones share a cell. A cell makes a matrix product of each of its
+buckets and passes on k rows a query. No pair of a query and a vector becomes a row.
 """
 
 from __future__ import annotations
@@ -88,36 +88,45 @@ def _file(width: int, probes: int):  # noqa: ANN202
 
 
 def _compare(width: int, k: int):  # noqa: ANN202
-    """The k + 1 nearest classes of each query of a cell (its own class may be among them)."""
+    """The k + 1 nearest classes in its bucket of each query of a cell (its own class may be among them)."""
 
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "class": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(queries) or not len(vectors):
-            return empty
-        fill = lambda frame: _unit(_matrix(pa.array(frame["vector"].tolist()), width))
-        q, v, ids = fill(queries), fill(vectors), vectors["id"].to_numpy()
-        near = q @ v.T
-        out = []
-        for i, query in enumerate(queries["id"].to_numpy()):
-            row = near[i]
-            best = np.flatnonzero(row >= (np.partition(row, -(k + 1))[-(k + 1)] if len(row) > k + 1 else -2) - 1e-9)
-            score = (v[best] * q[i]).sum(axis=1)  # in one order of summation, whatever the cell
-            best, score = (x[np.lexsort((ids[best], -score))[: k + 1]] for x in (best, score))
-            out.append(pd.DataFrame({"query_id": query, "class": ids[best], "score": score}))
-        return pd.concat(out)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(queries) and len(vectors):
+            fill = lambda frame: _unit(_matrix(pa.array(frame["vector"].tolist()), width))
+            q_all, v_all, ids_all, asked = fill(queries), fill(vectors), vectors["id"].to_numpy(), queries["id"].to_numpy()
+            of_q, of_v = queries["bucket"].to_numpy(), vectors["bucket"].to_numpy()
+            for bucket in np.intersect1d(of_q, of_v):
+                at, to = np.flatnonzero(of_q == bucket), np.flatnonzero(of_v == bucket)
+                q, v, ids = q_all[at], v_all[to], ids_all[to]
+                near = q @ v.T
+                for i, query in enumerate(asked[at]):
+                    row = near[i]
+                    best = np.flatnonzero(row >= (np.partition(row, -(k + 1))[-(k + 1)] if len(row) > k + 1 else -2) - 1e-9)
+                    score = (v[best] * q[i]).sum(axis=1)  # in one order of summation, whatever the cell
+                    order = np.lexsort((ids[best], -score))[: k + 1]
+                    out.append((np.full(len(order), query), ids[best][order], score[order]))
+        parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0)] * 3
+        return pd.DataFrame({"query_id": parts[0].astype("int64"), "class": parts[1].astype("int64"), "score": parts[2].astype("float64")})
 
     return run
 
 
 def _met(queries: DataFrame, vectors: DataFrame, width: int, k: int) -> DataFrame:
     """Compare what lies in equal buckets, cell by cell."""
-    count = lambda rows, name, block: rows.groupBy("table", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    sizes = F.broadcast(count(queries, "nq", BLOCK_QUERIES).join(count(vectors, "nv", BLOCK_VECTORS), ["table", "bucket"]))  # TABLES * 2 * width rows at most
+    count = lambda rows, name: rows.groupBy("table", "bucket").agg(F.count("*").alias(name))
+    sizes = count(queries, "q").join(count(vectors, "v"), ["table", "bucket"])
+    # Small buckets share a cell, large ones have several.
+    run = Window.partitionBy("table").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    grp = F.floor(F.greatest(F.sum("v").over(run) / BLOCK_VECTORS, F.sum("q").over(run) / BLOCK_QUERIES)).cast("int")
+    parts = lambda n, block: F.ceil(F.col(n) / block).cast("int")
+    sizes = F.broadcast(sizes.select("table", "bucket", grp.alias("grp"), parts("q", BLOCK_QUERIES).alias("nq"), parts("v", BLOCK_VECTORS).alias("nv")))  # TABLES * 2 * width rows at most
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["table", "bucket", "i", "j"]
-    q = queries.join(sizes, ["table", "bucket"]).withColumn("i", part("nq")).withColumn("j", every("nv")).select(*keys, "id", "vector")
-    v = vectors.join(sizes, ["table", "bucket"]).withColumn("j", part("nv")).withColumn("i", every("nq")).select(*keys, "id", "vector")
+    keys = ["table", "grp", "i", "j"]
+    own = ["table", (F.col("grp") + 0).alias("grp"), "i", "j"]  # a column of each side's own
+    q = queries.join(sizes, ["table", "bucket"]).withColumn("i", part("nq")).withColumn("j", every("nv")).select(*own, "bucket", "id", "vector")
+    v = vectors.join(sizes, ["table", "bucket"]).withColumn("j", part("nv")).withColumn("i", every("nq")).select(*own, "bucket", "id", "vector")
     return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(_compare(width, k), "query_id long, class long, score double")
 
 

@@ -14,9 +14,9 @@ held-out rows teach nothing, rows without doc_id are not held out; with nothing
 frequency go to the smaller word; empty tables give empty results; other columns aren't read.
 
 Plan: words are counted in the tasks before they are shuffled. The frequent words, KEEP at most, are broadcast with their
-counts; the counts of all other words reach the texts by a join on the word, in which no word is frequent. Every training
-document takes part in training with one position in STRIDE, each task from the same start; the tasks' parameters are
-averaged by an aggregation over parameter numbers, in ROUNDS rounds.
+counts; the counts of all other words reach the texts by a join on the word, in which no word is frequent. Training is one
+pass in ROUNDS rounds: each training document is in one of them, with all its positions. The tasks of a round begin from the
+same start; their parameters are averaged by an aggregation over parameter numbers.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from seqloom.llm import common
 
 MODEL_WORDS, BUCKETS, KEEP, WIDTH = 1200, 400, 120_000, 24
-STRIDE, ROUNDS, BATCH, NOISE, RATIO, RATE = 8, 2, 2048, 64, 16.0, 0.05
+ROUNDS, BATCH, NOISE, RATIO, RATE = 2, 2048, 64, 16.0, 0.05
 SMOOTH_WORDS = 250_000
 END = b""
 
@@ -172,8 +172,9 @@ class Model:
         x, y = self.context[far], self.context[near]
         r = x @ self.places[0] + y @ self.places[1]
         q, qn = self.target[word], self.target[noise]
-        good = _sigmoid((r * q).sum(axis=1) + self.bias[word] - prior[word]) - 1
-        bad = _sigmoid(r @ qn.T + self.bias[noise] - prior[noise]) * np.float32(RATIO / NOISE)
+        good = _sigmoid(np.einsum("ij,ij->i", r, q) + (self.bias - prior)[word]) - 1
+        bad = _sigmoid(r @ qn.T + (self.bias - prior)[noise])
+        bad *= np.float32(RATIO / NOISE)
         dr = good[:, None] * q + bad @ qn
         grad = Model(self.n, np.zeros_like(self.flat))
         np.matmul(x.T, dr, out=grad.places[0])
@@ -183,9 +184,14 @@ class Model:
         _add(grad.target, word, good[:, None] * r)
         _add(grad.target, noise, bad.T @ r)
         grad.bias += np.bincount(word, good, self.n).astype(np.float32) + np.bincount(noise, bad.sum(axis=0), self.n).astype(np.float32)
-        g = grad.flat / len(word)
+        g = grad.flat
+        g /= len(word)
         state += g * g
-        self.flat -= np.float32(RATE) * g / (np.sqrt(state) + np.float32(1e-5))
+        step = np.sqrt(state)
+        step += np.float32(1e-5)
+        g *= np.float32(RATE)
+        g /= step
+        self.flat -= g
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by (farther, word) and (nearer, word), and the log normaliser by (farther, nearer)."""
@@ -196,15 +202,18 @@ class Model:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _add(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """to[rows] += values, repeated rows added up."""
-    order = np.argsort(rows, kind="stable")
-    own = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    to[own[first]] += np.add.reduceat(values[order], first, axis=0)
+    """to[rows] += values, repeated rows added up; to is contiguous."""
+    at = rows[:, None] * to.shape[1] + np.arange(to.shape[1])
+    np.add.at(to.reshape(-1), at.ravel(), values.ravel())
 
 
 def _contexts(outcomes: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,6 +226,25 @@ def unigram(v: Vocabulary) -> np.ndarray:
     return counts / counts.sum()
 
 
+def lessons(texts: Iterator[str | None], reader: Reader) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Both contexts and the outcome of every position of the texts, BATCH together, fewer only in the last."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+    for text in texts:
+        _, outcomes, _ = reader.read(text)
+        held.append((*_contexts(outcomes, reader.v.outcomes), outcomes))
+        size += len(outcomes)
+        if size >= BATCH:
+            far, near, word = (np.concatenate(x) for x in zip(*held, strict=True))
+            full = size - size % BATCH
+            for k in range(0, full, BATCH):
+                yield far[k : k + BATCH], near[k : k + BATCH], word[k : k + BATCH]
+            held, size = [(far[full:], near[full:], word[full:])], size - full
+    if size:
+        far, near, word = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield far, near, word
+
+
 def train(spark: SparkSession, texts: DataFrame, v: Vocabulary) -> Model:
     """texts: doc_id, text of the training documents."""
     noise = unigram(v)
@@ -230,31 +258,15 @@ def train(spark: SparkSession, texts: DataFrame, v: Vocabulary) -> Model:
             own = Model(words.value.outcomes, start.value.copy())
             state = np.full_like(own.flat, 1e-6)
             rng = np.random.Generator(np.random.PCG64(turn))
-            held, size, seen = [], 0, 0
-
-            def step() -> None:
-                far, near, word = (np.concatenate(x) for x in zip(*held, strict=True))
-                for k in range(0, len(word), BATCH):
-                    own.train(far[k : k + BATCH], near[k : k + BATCH], word[k : k + BATCH], noise, state, rng)
-
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    _, outcomes, _ = reader.read(text.as_py())
-                    far, near = _contexts(outcomes, own.n)
-                    at = slice(((doc_id or 0) + turn * (STRIDE // ROUNDS)) % STRIDE, None, STRIDE)
-                    held.append((far[at], near[at], outcomes[at]))
-                    size += len(held[-1][0])
-                    if size >= BATCH:
-                        step()
-                        seen, size = seen + size, 0
-                        held.clear()
-            if size:
-                step()
-                seen += size
+            seen = 0
+            for far, near, word in lessons((text.as_py() for batch in batches for text in batch.column(0)), reader):
+                own.train(far, near, word, noise, state, rng)
+                seen += len(word)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([own.flat.tolist()], pa.list_(pa.float32()))], ["weight", "flat"])
 
-        parts = texts.select("doc_id", "text").mapInArrow(run, "weight double, flat array<float>")
+        share = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn)
+        parts = share.select("text").mapInArrow(run, "weight double, flat array<float>")
         mean = parts.select("weight", F.posexplode("flat").alias("k", "x")).groupBy("k").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x"))
         got = mean.toPandas()  # one row a parameter
         flat = model.flat.copy()

@@ -431,5 +431,30 @@ def test_model_is_normalised_and_learns():
     assert p[far[:500], near[:500], word[:500]].mean() > 0.3
 
 
+def test_every_position_teaches(spark):
+    # Texts of two words and ids of one residue: the second word and the end lie at places that a stride would leave out.
+    n = 100_000
+    texts = spark.range(0, n, 1, 2).select((8 * F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 1, "a b").otherwise("c d").alias("text"))
+    counts = spark.createDataFrame([(bytearray(w), n // 2) for w in (b"a", b"b", b"c", b"d")] + [(bytearray(), n)], "word binary, n long")
+    v = lm.vocabulary(counts)
+    one, two, norm = lm.train(spark, texts, v).tables()
+    at = {w: k for k, w in enumerate(v.words)}
+    p = lambda far, near, word: float(np.exp(one[far, word] + two[near, word] - norm[far, near]))
+    before = v.outcomes
+    assert p(before, at[b"a"], at[b"b"]) > 3 * p(before, at[b"a"], at[b"d"]) and p(before, at[b"c"], at[b"d"]) > 3 * p(before, at[b"c"], at[b"b"])
+    assert p(at[b"a"], at[b"b"], v.end) > 3 * p(at[b"a"], at[b"b"], at[b"a"])
+
+
+def test_lessons_cover_all_positions():
+    v = lm.Vocabulary([b"x", b"y"], np.array([5.0, 4.0]), 2, np.ones(lm.BUCKETS), np.ones(lm.BUCKETS), 9, 2)
+    rng = random.Random(5)
+    texts = [None, "", *(" ".join(rng.choices("xyz", k=rng.choice((1, 7, 3000, 5000)))) for _ in range(30)), ""]
+    got = list(lm.lessons(iter(texts), lm.Reader(v)))
+    assert [len(w) for _, _, w in got[:-1]] == [lm.BATCH] * (len(got) - 1)
+    words = [lm.Reader(v).read(t)[1] for t in texts]
+    assert np.array_equal(np.concatenate([w for _, _, w in got]), np.concatenate(words))
+    assert np.array_equal(np.concatenate([n for _, n, _ in got]), np.concatenate([[v.outcomes, *w[:-1]] for w in words]))
+
+
 def test_scores_of_an_empty_table(spark):
     assert lm.score(spark, table(spark, [])).count() == 0

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from seqloom.llm import bpe, common, decontaminate, line_dedup, near_dups
 from seqloom.llm import toxicity as tox
 
+#: Near duplicates share this percentage of their five-word shingles or more.
+SIMILARITY = 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tox.clean(common.prepare(spark), docs, common.table(spark, sf_dir, "labels"))
@@ -21,7 +24,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dups.keep(spark, docs)
+    return near_dups.keep(spark, docs, SIMILARITY)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

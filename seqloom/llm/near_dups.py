@@ -1,10 +1,11 @@
 """Near duplicates: MinHash signatures, a multi-index Hamming join, and confirmation on the full shingle sets.
 
 Two documents are linked if the Jaccard similarity of their sets of distinct 5-word shingles is SIMILARITY percent or more.
-Signatures of 66 16-bit symbols are cut into 11 chunks of 6; all pairs with 21 unequal symbols or fewer share a chunk with
-one error at most, and so one of the 6 keys that leave one symbol of the chunk out. At similarity 0.85 a pair has 9.9
-unequal symbols on average with a deviation of 2.9, so a link is missed in one of some ten thousand borderline cases, and
-then mostly held by other links of its group.
+Signatures of up to 66 16-bit symbols are cut into chunks, at SIMILARITY 11 of 6; all pairs with 21 unequal symbols or fewer
+share a chunk with one error at most, and so one of the 6 keys that leave one symbol of the chunk out. At similarity 0.85 a
+pair has 9.9 unequal symbols on average with a deviation of 2.9, so a link is missed in one of some ten thousand borderline
+cases, and then mostly held by other links of its group. Lower thresholds have shorter chunks, and so a wider radius, until a
+pair at the threshold lies beyond it with a chance of MISS at most: at 80 percent 13 chunks of 5, all within 25 of 65 symbols.
 
 1. Documents with equal shingle sets are one class, whose smallest doc_id stands for it; nothing below sees its copies.
 2. The keys of all classes are aggregated to the smallest class of each key; keys of one class only are dropped.
@@ -21,7 +22,9 @@ table gives an empty result; other columns are never read, and `keep` passes the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,16 +42,52 @@ NEAREST = 2
 LONG = 256
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    common.working("shingles", shingles.forget)
-    for batch in batches:
-        ids, n, digests, sigs = batch.column(0), [], [], []
-        for text in batch.column(1):
-            own = shingles.of(text.as_py())
-            n.append(len(own))
-            digests.append(shingles.digest(own) if len(own) else None)
-            sigs.append(shingles.signature(own).tobytes() if len(own) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "digest", "sig"])
+#: The chance that a pair at the threshold lies beyond the radius.
+MISS = 0.0002
+
+
+@dataclass(frozen=True)
+class Layout:
+    """A signature of `chunks` chunks of `chunk` symbols; pairs within `radius` share a chunk with one error at most."""
+
+    chunks: int
+    chunk: int
+
+    @property
+    def symbols(self) -> int:
+        return self.chunks * self.chunk
+
+    @property
+    def radius(self) -> int:
+        return 2 * self.chunks - 1
+
+    def missed(self, percent: int) -> float:
+        q, m = 1 - percent / 100, self.symbols
+        return sum(math.comb(m, k) * q**k * (1 - q) ** (m - k) for k in range(self.radius + 1, m + 1))
+
+
+def layout(percent: int) -> Layout:
+    """That of the longest chunks whose radius is wide enough; chunks of 2 symbols at the least."""
+    for chunk in range(shingles.CHUNK, 2, -1):
+        own = Layout(shingles.SYMBOLS // chunk, chunk)
+        if own.missed(percent) <= MISS:
+            return own
+    return Layout(shingles.SYMBOLS // 2, 2)
+
+
+def _sign(symbols: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.working("shingles", shingles.forget)
+        for batch in batches:
+            ids, n, digests, sigs = batch.column(0), [], [], []
+            for text in batch.column(1):
+                own = shingles.of(text.as_py())
+                n.append(len(own))
+                digests.append(shingles.digest(own) if len(own) else None)
+                sigs.append(shingles.signature(own, symbols).tobytes() if len(own) else None)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "digest", "sig"])
+
+    return sign
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +121,14 @@ def _link_of(percent: int) -> Column:
     return link
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, form: Layout) -> DataFrame:
     """rep, id (of chunk and symbol left out), key."""
-    width = 2 * shingles.CHUNK
-    at = F.floor(F.col("id") / shingles.CHUNK) * width
-    out = (F.col("id") % shingles.CHUNK) * 2
+    width = 2 * form.chunk
+    at = F.floor(F.col("id") / form.chunk) * width
+    out = (F.col("id") % form.chunk) * 2
     cut = lambda start, n: F.substring(F.col("sig"), start.cast("int"), n.cast("int"))
     key = F.xxhash64("id", cut(at + 1, out), cut(at + out + 3, F.lit(width - 2) - out))
-    return classes.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(shingles.SYMBOLS - 1)))).select("rep", "id", key.alias("key"))
+    return classes.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(form.symbols - 1)))).select("rep", "id", key.alias("key"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -103,7 +142,7 @@ def _across(percent: int, nearest: bool):  # noqa: ANN202
     """Pairs (a, b) of a cell, and how many symbols differ, that lie in different components, are near enough by size and
     signature, and whose first common key this is. nearest: of each class only the pair with the closest one of a component
     with a smaller id, so that a large component, which mostly has the smallest, asks for nothing."""
-    share = percent / 100
+    share, form = percent / 100, layout(percent)
     bound = int(LONG * (1 - share) + 4 * (LONG * share * (1 - share)) ** 0.5)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +152,7 @@ def _across(percent: int, nearest: bool):  # noqa: ANN202
                 f = rows.values
                 rep, comp, n, block = (f.field(k).to_numpy() for k in ("rep", "comp", "n", "block"))
                 sig, long = (np.frombuffer(b"".join(f.field(k).to_pylist()), dtype=np.uint16).reshape(len(rep), -1) for k in ("sig", "long"))
-                chunk, out = divmod(key_id, shingles.CHUNK)
+                chunk, out = divmod(key_id, form.chunk)
                 for k in range(len(rep)):
                     if not same and not nearest and block[k] != block.min():
                         continue
@@ -123,9 +162,9 @@ def _across(percent: int, nearest: bool):  # noqa: ANN202
                     other = other[apart & (100 * lo >= percent * hi)]
                     if not len(other):
                         continue
-                    wrong = (sig[other] != sig[k]).reshape(len(other), shingles.CHUNKS, shingles.CHUNK)
+                    wrong = (sig[other] != sig[k]).reshape(len(other), form.chunks, form.chunk)
                     each = wrong.sum(axis=2)
-                    ok = (each.sum(axis=1) <= shingles.RADIUS) & ((each <= 1).argmax(axis=1) == chunk) & (wrong[:, chunk].argmax(axis=1) == out)
+                    ok = (each.sum(axis=1) <= form.radius) & ((each <= 1).argmax(axis=1) == chunk) & (wrong[:, chunk].argmax(axis=1) == out)
                     other = other[ok]
                     away = (long[other] != long[k]).sum(axis=1)
                     other, away = other[away <= bound], away[away <= bound]
@@ -173,12 +212,12 @@ def _merged(spark: SparkSession, first: DataFrame, links: DataFrame) -> DataFram
 def find(spark: SparkSession, docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     common.prepare(spark)
-    own = docs.select("doc_id", "text")
-    signed = common.settle(spark, own.mapInArrow(_sign, "doc_id long, n long, digest binary, sig binary"), "signed")
+    own, form = docs.select("doc_id", "text"), layout(percent)
+    signed = common.settle(spark, own.mapInArrow(_sign(form.symbols), "doc_id long, n long, digest binary, sig binary"), "signed")
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = common.settle(spark, classes, "classes")
 
-    keys = _keys(classes)
+    keys = _keys(classes, form)
     least = keys.groupBy("key", "id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "id", "lo")
     shared = common.settle(spark, keys.join(least, ["key", "id"]), "shared")
     involved = shared.select(F.col("rep").alias("doc_id")).distinct()
@@ -189,7 +228,7 @@ def find(spark: SparkSession, docs: DataFrame, percent: int = SIMILARITY) -> Dat
     of = lambda name: brief.select(*[F.col(c).alias(f"{name}_{c}" if c != "rep" else name) for c in brief.columns])
     near = shared.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
     sized = lambda pairs: pairs.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    near = sized(near.join(of("a"), "a").join(of("b"), "b")).withColumn("far", _distance("a_sig", "b_sig")).where(F.col("far") <= shingles.RADIUS)
+    near = sized(near.join(of("a"), "a").join(of("b"), "b")).withColumn("far", _distance("a_sig", "b_sig")).where(F.col("far") <= form.radius)
     near = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     linked = common.settle(spark, _confirmed(near, sets, percent), "linked")
     placed = common.settle(spark, components(spark, linked), "components")

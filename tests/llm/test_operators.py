@@ -15,6 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from seqloom.llm import ann, bpe, common, decontaminate, line_dedup, lm, near_dups, pii, quality, secrets, shingles, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -126,6 +127,27 @@ def test_near_duplicates_on_odd_tables(spark):
     assert sorted(r.doc_id for r in out.collect()) == [0, 3] and len(out.columns) == 10
 
 
+def test_near_duplicates_of_the_pipeline(spark):
+    # Pairs of Jaccard 0.80 to 0.85 by single substitutions, each of which changes five shingles.
+    rng, texts = random.Random(8), []
+    while len(texts) < 120:
+        a = [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(100, 250))]
+        b = list(a)
+        for k in rng.sample(range(len(a)), rng.randint(1, 6)):
+            b[k] = "zz"
+        x, y = (shingles.of(" ".join(t)) for t in (a, b))
+        if 0.8 <= len(np.intersect1d(x, y)) / len(np.union1d(x, y)) < 0.85:
+            texts += [" ".join(a), " ".join(b)]
+    docs = table(spark, texts)
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()) == list(range(0, len(texts), 2))
+    assert near_dups.keep(spark, docs).count() == len(texts)  # at 85 percent none is linked
+
+
+def test_layouts():
+    assert near_dups.layout(85) == near_dups.Layout(shingles.CHUNKS, shingles.CHUNK) and near_dups.layout(85).radius == shingles.RADIUS
+    assert near_dups.layout(80).missed(80) <= near_dups.MISS < near_dups.Layout(shingles.CHUNKS, shingles.CHUNK).missed(80)
+
+
 def test_pigeonhole_and_signature():
     rng = random.Random(3)
     words = [f"w{k}" for k in range(3000)]

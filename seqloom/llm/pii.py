@@ -2,7 +2,7 @@
 
 Emails, phone numbers, IPv4 addresses, card numbers and names (after a title, or a known first name before a surname) are
 found by patterns. Each is written as a number in the space of all strings of its format and sent through a keyed permutation
-of that space, walked until the image is of the same kind (a valid card number stays valid, a private address private, a
+of that space, walked until the image is another of the same kind (a valid card number stays valid, a private address private, a
 known name of one gender becomes another of that gender, an unknown one stays unknown). A permutation has no collisions, so
 different entities get different surrogates and the same entity the same one, in every row and without any shared state; per
 document this is checked all the same, and a clash raises.
@@ -17,6 +17,8 @@ from __future__ import annotations
 import ipaddress
 import math
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -37,6 +39,32 @@ TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Seño
 ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", "àâäáéèêëîïíôöóùûüú", "ÀÂÄÁÉÈÊËÎÏÍÔÖÓÙÛÜÚ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ")
 
 _OF = {c: a for a in ALPHABETS for c in a}
+
+
+@lru_cache(maxsize=1)
+def _classes() -> dict[tuple[str, str, bool], str]:
+    """All other letters and digits of Unicode by script (the first word of the character's name) and category."""
+    found: dict[tuple[str, str, bool], list[str]] = {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if c.isalnum() and c not in _OF:
+            found.setdefault(_class(c), []).append(c)
+    return {k: "".join(v) for k, v in found.items()}
+
+
+def _class(c: str) -> tuple[str, str, bool]:
+    """The last: a name's pattern doesn't begin with it."""
+    return unicodedata.name(c, "NONE").split(" ")[0].split("-")[0], unicodedata.category(c), "à" <= c <= "ÿ" or "а" <= c <= "я"
+
+
+@lru_cache(maxsize=100_000)
+def _alphabet(c: str) -> str | None:
+    """The letters or digits that c may become; none for other characters and for a letter alone in its class."""
+    if c in _OF or not c.isalnum():
+        return _OF.get(c)
+    own = _classes()[_class(c)]
+    return own if len(own) > 1 else None
+
+
 _GROUP = {n: g for g, names in NAMES.items() for n in names}
 _CAP = r"[^\W\d_a-zà-ÿа-я][^\W\d_]+(?:-[^\W\d_]+)?"
 _PATTERNS = {
@@ -55,38 +83,60 @@ def _round(key: bytes, tweak: str, k: int, x: int) -> int:
 
 
 def permuted(x: int, n: int, key: bytes, tweak: str, kind: Callable[[int], object] = lambda _: None) -> int:
-    """The image of x under a keyed permutation of range(n) that keeps `kind`: an unbalanced Feistel network, walked along
-    its cycle until range(n) and the kind of x are met again. A fixed point is left where the cycle allows."""
+    """The image of x under a keyed permutation of range(n) that keeps `kind`: the numbers in the order that an unbalanced
+    Feistel network deals them form one ring, on which x goes to the next one of its kind. So x stays only where it is the
+    sole one of its kind."""
     a = max(1, math.isqrt(n - 1) + 1)
     b = -(-n // a)
-    own, y = kind(x), x
+
+    def forth(y: int) -> int:
+        while True:
+            left, right = divmod(y, b)
+            for k in range(0, 6, 2):
+                left = (left + _round(key, tweak, k, right)) % a
+                right = (right + _round(key, tweak, k + 1, left)) % b
+            y = left * b + right
+            if y < n:
+                return y
+
+    def back(y: int) -> int:
+        while True:
+            left, right = divmod(y, b)
+            for k in range(4, -1, -2):
+                right = (right - _round(key, tweak, k + 1, left)) % b
+                left = (left - _round(key, tweak, k, right)) % a
+            y = left * b + right
+            if y < n:
+                return y
+
+    own, at = kind(x), forth(x)
     while True:
-        left, right = divmod(y, b)
-        for k in range(0, 6, 2):
-            left = (left + _round(key, tweak, k, right)) % a
-            right = (right + _round(key, tweak, k + 1, left)) % b
-        y = left * b + right
-        if y < n and kind(y) == own:
+        at = (at + 1) % n
+        y = back(at)
+        if kind(y) == own:
             return y
 
 
 def _letters(text: str, key: bytes, tweak: str, kind: Callable[[str], object] = lambda _: None) -> str:
     """Each letter and digit replaced by one of its class; everything else stays."""
-    radices = [len(_OF[c]) if c in _OF else 1 for c in text]
-    shape = "".join(str(ALPHABETS.index(_OF[c])) + "," if c in _OF else c for c in text)
-    n = math.prod(radices)
+    classes = [_alphabet(c) for c in text]
+    shape = "".join(c if own is None else (str(ALPHABETS.index(own)) if own in ALPHABETS else repr(_class(c))) + "," for c, own in zip(text, classes, strict=True))
+    n = math.prod(len(own) for own in classes if own)
 
     def word(x: int) -> str:
         out = []
-        for c, r in zip(text, radices, strict=True):
-            x, k = divmod(x, r)
-            out.append(_OF[c][k] if c in _OF else c)
+        for c, own in zip(text, classes, strict=True):
+            if own:
+                x, k = divmod(x, len(own))
+                c = own[k]
+            out.append(c)
         return "".join(out)
 
     x, unit = 0, 1
-    for c, r in zip(text, radices, strict=True):
-        x += unit * (_OF[c].index(c) if c in _OF else 0)
-        unit *= r
+    for c, own in zip(text, classes, strict=True):
+        if own:
+            x += unit * own.index(c)
+            unit *= len(own)
     return word(permuted(x, n, key, f"{tweak}:{shape}", lambda v: kind(word(v))))
 
 

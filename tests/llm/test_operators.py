@@ -395,6 +395,20 @@ def test_surrogates():
     assert anna[2] == anna[4] == anna[7] and pii.replace(text, b"z" * 32)[0] != new
 
 
+def test_no_entity_stays():
+    names = ["Dr Νίκος Παπαδόπουλος", "Dr 王小明", "Frau Łł", "Dr Йй", "Herr ßß", "Dr محمد علي", "Mr Ñç", *(f"{n} Keller" for g in pii.NAMES.values() for n in g)]
+    texts = [*names, "用户@example.com", "ñ@example.com", "ж@example.com", "a@example.com", "10.0.0.1", "255.255.255.255", "4111 1111 1111 1111", "+1 (826) 555-4081"]
+    for key in (bytes([k]) * 32 for k in range(8)):
+        for text in texts:
+            new, found = pii.replace(text, key)
+            assert len(found) == 1, text
+            a, b, kind = found[0]
+            parts = zip(text[a:b].split(" "), new[a:].split(" "), strict=True) if kind == "name" else [(text[a:b], new[a:])]
+            assert all(x != y for x, y in parts), (text, new)
+    for n in (2, 7, 10, 26, 100, 997):
+        assert all(pii.permuted(x, n, b"k" * 32, "t") != x for x in range(n))
+
+
 def test_surrogates_stay_distinct(spark):
     texts = [f"write to user{k}@host{k % 7}.org from {k % 250}.{k % 199}.7.{k % 11 + 1}" for k in range(800)] + [None, "", "nothing here"]
     got = {r.doc_id: r for r in pii.report(spark, table(spark, texts, EXTRA), "key").collect()}

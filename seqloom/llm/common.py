@@ -75,3 +75,36 @@ def tokens(text: str | None) -> list[bytes]:
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo the modulus."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have, in any letter case."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"_{name}".lower() in used:
+            name = f"_{name}"
+        out.append(f"_{name}")
+        used.add(out[-1].lower())
+    return out
+
+
+def order_id(column: str) -> Column:
+    """The id, never null: rows without one come after all others."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(2**63 - 1))
+
+
+def sieve(rows: DataFrame, keys: DataFrame, by: list[str], bits: int, inside: bool = True) -> DataFrame:
+    """The rows whose columns `by` may be among keys (its columns in the same order), or with inside=False all others. A bitmap of
+    `bits` bits at most is broadcast; no row leaves its task. Rows among keys are always inside; the fuller the bitmap, the more
+    others are too."""
+    at = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(bits)) + 1
+    bucket, bitmap = fresh(rows, "bucket", "bitmap")
+    place = at(keys.columns)
+    maps = keys.select(F.bitmap_bucket_number(place).alias(bucket), F.bitmap_bit_position(place).alias("p")).groupBy(bucket).agg(F.bitmap_construct_agg("p").alias(bitmap))
+    own = at(by)
+    joined = rows.withColumn(bucket, F.bitmap_bucket_number(own)).join(F.broadcast(maps), bucket, "left")
+    spot = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (spot % 8).cast("int")) == 1, F.lit(False))
+    return joined.where(found if inside else ~found).select(*rows.columns)

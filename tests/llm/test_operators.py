@@ -42,14 +42,13 @@ def brute_lines(docs):
     for i, text in sorted(docs.items()):
         lines = text.split("\n")
         h = [int(md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        for bit in range(line_dedup.BITS):
-            for which in (0, 1):
-                ends = [k + 1 for k in range(1, len(lines)) if ((h[k] + 3 * h[k - 1]) >> (3 + bit)) % 2 == which]
-                ends = [*[e for e in ends if e < len(lines)], len(lines)]
-                for a, b in zip([0, *ends], ends, strict=False):
-                    chunk = "\n".join(lines[a:b])
-                    if b - a >= line_dedup.MIN_LINES and len(chunk.encode()) >= line_dedup.MIN_BYTES:
-                        places.setdefault(chunk, set()).add((i, a, b))
+        bits = [((a + 3 * b) >> line_dedup.END) % 2 for a, b in zip(h, h[1:], strict=False)]
+        for a in range(len(bits)):
+            for end in (0, 1):
+                b = next((k + 2 for k in range(a, len(bits)) if bits[k] == end), None)
+                chunk = "\n".join(lines[a:b])
+                if b and len(chunk.encode()) >= line_dedup.MIN_BYTES:
+                    places.setdefault(chunk, set()).add((i, a, b))
     gone = {(i, k) for own in places.values() for i, a, b in own if (i, a) > min(own)[:2] for k in range(a, b)}
     return {i: "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone) for i, text in docs.items()}
 
@@ -64,20 +63,48 @@ def test_lines_match_brute_force(spark):
             at = rng.randint(0, len(own))
             own[at:at] = passage
         texts.append("\n".join(own))
-    texts += texts[:4] + ["", "\n", "a\n\n\nb", "é\n" * 50]
-    got = {r.doc_id: r.text for r in line_dedup.dedup(table(spark, texts)).collect()}
+    texts += texts[:4] + ["", "\n", "a\n\n\nb", "é\n" * 50, "one short\n" * 40]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark, table(spark, texts)).collect()}
     assert got == brute_lines(dict(enumerate(texts)))
     assert sum(map(len, got.values())) < sum(map(len, texts))
 
 
+@pytest.mark.parametrize("size", [2, 3, 4, 5])
+def test_passages_in_other_contexts_go(spark, size):
+    rng = random.Random(size)
+    texts, passages = [], []
+    for _ in range(25):
+        passages.append([prose(rng, rng.randint(10, 30)) for _ in range(size)])
+        for _ in range(3):
+            own = [prose(rng, rng.randint(5, 20)) for _ in range(rng.randint(0, 6))]
+            at = rng.randint(0, len(own))
+            texts.append("\n".join([*own[:at], *passages[-1], *own[at:]]))
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup(spark, table(spark, texts)).collect()}
+    for k, own in got.items():
+        kept = [x for x in texts[k].split("\n") if k % 3 == 0 or x not in passages[k // 3]]
+        assert own == (kept or [""])
+
+
 def test_lines_on_odd_tables(spark):
-    out = line_dedup.dedup(table(spark, [None, "", "x", "a\nb"], EXTRA))
+    out = line_dedup.dedup(spark, table(spark, [None, "", "x", "a\nb"], EXTRA))
     assert out.columns == [f.split()[0] for f in EXTRA.split(", ")]
     assert sorted((r.doc_id, r.text) for r in out.collect()) == [(0, None), (1, ""), (2, "x"), (3, "a\nb")]
-    assert line_dedup.dedup(table(spark, [])).count() == 0
+    assert line_dedup.dedup(spark, table(spark, [])).count() == 0
     long = "\n".join(f"line number {k} of a very long text" for k in range(20_000))
-    got = {r.doc_id: len(r.text) for r in line_dedup.dedup(table(spark, [long, long])).collect()}
-    assert got[0] == len(long) and got[1] < len(long)
+    got = {r.doc_id: len(r.text) for r in line_dedup.dedup(spark, table(spark, [long, long])).collect()}
+    assert got == {0: len(long), 1: 0}
+
+
+def test_rows_of_line_dedup_are_told_apart(spark):
+    text = "a line of some length, the first\nand a second one to go with it"
+    rows = [(3, text), (5, text), (5, "alone"), (None, text), (None, f"own\n{text}"), (3, text)]
+    names = ["doc_id", "text", "_gone", "_VERSION", "_id", "_bucket", "_bitmap", "__gone"]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, k) for k, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names[2:]))
+    out = line_dedup.dedup(spark, docs)
+    assert out.columns == names
+    assert [(r.doc_id, r.text) for r in sorted(out.collect(), key=lambda r: r[7])] == [(3, text), (5, ""), (5, "alone"), (None, ""), (None, "own"), (3, text)]
+    left = line_dedup.dedup(spark, docs, drop_emptied=True).collect()
+    assert sorted(r[7] for r in left) == [0, 2, 4, 5] and [r[2:7] for r in left] == [(1, 2, 3, 4, 5)] * 4
 
 
 # --- near duplicates

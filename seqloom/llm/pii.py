@@ -1,15 +1,21 @@
 """Personal data replaced by surrogates: keyed, of the same type, gender, script and format.
 
-Emails, phone numbers, IPv4 addresses, card numbers and names (after a title, or a known first name before a surname) are
-found by patterns. Each is written as a number in the space of all strings of its format and sent through a keyed permutation
-of that space, walked until the image is another of the same kind (a valid card number stays valid, a private address private, a
-known name of one gender becomes another of that gender, an unknown one stays unknown). A permutation has no collisions, so
-different entities get different surrogates and the same entity the same one, in every row and without any shared state; per
-document this is checked all the same, and a clash raises.
-
-Defined cases: null texts stay null, empty ones empty; entities that overlap go to the kind named first above; a phone number
-is its digits, however written; rows repeat alike; very long texts are treated whole; empty tables give empty results; other
-columns aren't read by `report`. A map over rows: no shuffle, nothing collected.
+Emails, IBANs, phone numbers, IP addresses, national numbers (3-2-4), cards, street addresses and names are found by patterns: a
+name after a title or a phrase that introduces one, or a known first name before a surname; after that every bare mention of
+its parts in the document too, in capitals as well. Each is written as a number in the space of all strings of its format and
+sent through a keyed permutation of that space, walked until the image is another of the same kind (a valid card number stays
+valid, a private address private, a known name of one gender becomes another of that gender, an unknown one stays unknown).
+A permutation has no collisions, so different entities get different surrogates and the same entity the same one, in every
+row and without any shared state. Per document this is checked all the same; an entity that clashed would take the next key
+derived from the first until none does.
+
+The same entity is: an email or a name in any letter case, a number however it is spaced, an address however its octets are
+padded. Spelling is kept: letters in capitals stay so, spaces and marks stay where they are.
+
+Defined cases: null texts stay null, empty ones empty; entities that overlap go to the kind named first above; rows repeat
+alike; very long texts are treated whole, in linear time; empty tables give empty results; other columns aren't read by
+`report`. First names outside the lists are found after a title or an introduction only; national numbers of other forms
+are not found. A map over rows: no shuffle, nothing collected.
 """
 
 from __future__ import annotations
@@ -67,14 +73,30 @@ def _alphabet(c: str) -> str | None:
 
 _GROUP = {n: g for g, names in NAMES.items() for n in names}
 _CAP = r"[^\W\d_a-zà-ÿа-я][^\W\d_]+(?:-[^\W\d_]+)?"
+# Phrases before a name, words of street addresses.
+CUES = "[Mm]y name is|I am called|Dear|[Jj]e m'appelle|Cher|Chère|[Ii]ch heiße|[Mm]ein Name ist|Lieber|Liebe|[Mm]e llamo|[Mm]i nombre es|Querido|Querida|[Мм]еня зовут"
+STREETS = "Street St Avenue Ave Road Rd Lane Ln Drive Boulevard Blvd Way Court Square rue avenue boulevard place chemin impasse Calle Avenida Plaza Paseo".split()
+PARTICLES = "de la du des del los las".split()
+GERMAN = "straße|strasse|weg|allee|platz|gasse"
+_OF_STREET = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{_CAP}(?: {_CAP})*"
 _PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}(?![\w-])"),
-    "phone": re.compile(r"(?<![\w+.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w])|(?<![\w+.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\w])|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w])"),
-    "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"),
+    "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
+    "phone": re.compile(
+        r"(?<![\w+.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w])|(?<![\w+.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\w])"
+        r"|(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w])|(?<![\w+.-])0\d(?:[ .-]\d{2}){4}(?![\w])"
+    ),
+    "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?!\w|\.\d)"),
+    "ip6": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)"),
+    "national": re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"),
     "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
-    "name": re.compile(rf"(?:(?<!\w)(?:{'|'.join(TITLES)})\.? ({_CAP}(?: {_CAP}){{0,2}}))|(?:(?<!\w)((?:{'|'.join(_GROUP)}) {_CAP})(?!\w))"),
+    "address": re.compile(
+        rf"(?<!\w)\d{{1,5}} (?:{_CAP} ){{1,3}}(?:{'|'.join(STREETS[:13])})(?!\w)|(?<!\w)\d{{1,5}},? (?:{'|'.join(STREETS[13:19])}) {_OF_STREET}"
+        rf"|(?<!\w)(?:{'|'.join(STREETS[19:])}) {_OF_STREET},? \d{{1,5}}(?!\w)|(?<!\w){_CAP}(?:{GERMAN}) \d{{1,5}}(?!\w)"
+    ),
+    "name": re.compile(rf"(?:(?<!\w)(?:(?:{'|'.join(TITLES)})\.?|{CUES}) ({_CAP}(?: {_CAP}){{0,2}}))|(?:(?<!\w)((?:{'|'.join(_GROUP)}) {_CAP})(?!\w))"),
 }
-_HINT = {"email": "@", "phone": None, "ip": ".", "card": None, "name": " "}
+_HINT = {"email": "@", "ip": ".", "ip6": ":", "national": "-", "name": " ", "address": " "}
 
 
 @lru_cache(maxsize=200_000)
@@ -140,25 +162,51 @@ def _letters(text: str, key: bytes, tweak: str, kind: Callable[[str], object] =
     return word(permuted(x, n, key, f"{tweak}:{shape}", lambda v: kind(word(v))))
 
 
+def _low(text: str) -> str:
+    """Each letter in lower case, where upper case gives it back."""
+    return "".join(v if len(v := c.lower()) == 1 and v.upper() == c else c for c in text)
+
+
+def _cased(new: str, like: str) -> str:
+    """new with capitals where `like`, of the same length, has them."""
+    return "".join(u if c != _low(c) and len(u := n.upper()) == 1 and _low(u) == n else n for n, c in zip(new, like, strict=True))
+
+
 def _digits(text: str, digits: str) -> str:
     """The text with its digits replaced in order."""
     rest = iter(digits)
     return "".join(next(rest) if c.isdigit() else c for c in text)
 
 
+def _number(digits: str, key: bytes, tweak: str) -> str:
+    """Another number of as many digits, with a leading zero where this one has it."""
+    n = len(digits)
+    return str(permuted(int(digits), 10**n, key, f"{tweak}{n}", lambda v: v >= 10 ** (n - 1))).zfill(n)
+
+
 def _email(text: str, key: bytes) -> str:
-    local, _, host = text.rpartition("@")
+    local, _, host = _low(text).rpartition("@")
     labels = host.split(".")
-    kept = 2 if len(labels) >= 2 and labels[-2].lower() == "example" else 1
+    kept = 2 if len(labels) >= 2 and labels[-2] == "example" else 1
     head = ".".join(labels[:-kept])
-    return f"{_letters(local, key, 'local')}@" + ".".join(x for x in (_letters(head, key, "host"), *labels[-kept:]) if x)
+    return _cased(f"{_letters(local, key, 'local')}@" + ".".join(x for x in (_letters(head, key, "host"), *labels[-kept:]) if x), text)
+
+
+def _iban_rest(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def _iban(text: str, key: bytes) -> str:
+    plain = text.replace(" ", "")
+    body = _letters(plain[4:], key, f"iban {plain[:2]}")
+    rest = iter(f"{plain[:2]}{98 - _iban_rest(plain[:2] + '00' + body):02d}{body}")
+    return "".join(c if c == " " else next(rest) for c in text)
 
 
 def _phone(text: str, key: bytes) -> str:
     digits = "".join(c for c in text if c.isdigit())
     free = digits[-10:] if len(digits) > 10 else digits
-    new = permuted(int(free), 10 ** len(free), key, f"phone{len(free)}")
-    return _digits(text, digits[: len(digits) - len(free)] + str(new).zfill(len(free)))
+    return _digits(text, digits[: len(digits) - len(free)] + _number(free, key, "phone"))
 
 
 def _ip_kind(x: int) -> tuple[bool, bool, bool]:
@@ -166,8 +214,30 @@ def _ip_kind(x: int) -> tuple[bool, bool, bool]:
     return a.is_private, a.is_multicast, a.is_reserved
 
 
+def _octets(text: str) -> int:
+    return int.from_bytes(map(int, text.split(".")), "big")
+
+
 def _ip(text: str, key: bytes) -> str:
-    return str(ipaddress.IPv4Address(permuted(int(ipaddress.IPv4Address(".".join(str(int(p)) for p in text.split(".")))), 2**32, key, "ip", _ip_kind)))
+    return str(ipaddress.IPv4Address(permuted(_octets(text), 2**32, key, "ip", _ip_kind)))
+
+
+def _ip6(text: str, key: bytes) -> str:
+    """The first 16 bits, which tell the address's use, stay."""
+    head, rest = divmod(int(ipaddress.IPv6Address(text)), 2**112)
+    new = ipaddress.IPv6Address((head << 112) + permuted(rest, 2**112, key, f"ip6 {head}"))
+    out = str(new) if "::" in text else ":".join(f"{int(x, 16):x}" for x in new.exploded.split(":"))
+    return out.upper() if text != text.lower() else out
+
+
+def _national(text: str, key: bytes) -> str:
+    digits = text.replace("-", "")
+
+    def valid(x: int) -> bool:
+        area, group, serial = x // 10**6, x // 10**4 % 100, x % 10**4
+        return 0 < area < 900 and area != 666 and group > 0 and serial > 0
+
+    return _digits(text, str(permuted(int(digits), 10**9, key, "national", valid)).zfill(9))
 
 
 def _luhn(digits: str) -> bool:
@@ -181,53 +251,103 @@ def _card(text: str, key: bytes) -> str:
     return _digits(text, str(new).zfill(n))
 
 
+def _part(part: str, key: bytes) -> str:
+    """One word of a name, the same in any letter case."""
+    group = _GROUP.get(part.capitalize())
+    if group:
+        names = NAMES[group]
+        new = names[permuted(names.index(part.capitalize()), len(names), key, group)]
+        return new.upper() if part.isupper() else new
+    return _cased(_letters(_low(part), key, "name", lambda w: w.capitalize() in _GROUP), part)
+
+
 def _name(text: str, key: bytes) -> str:
-    out = []
-    for part in text.split(" "):
-        group = _GROUP.get(part)
-        if group:
-            names = NAMES[group]
-            out.append(names[permuted(names.index(part), len(names), key, group)])
-        else:
-            out.append(_letters(part, key, "name", lambda w: w in _GROUP))
-    return " ".join(out)
+    return " ".join(_part(part, key) for part in text.split(" "))
+
 
+def _address(text: str, key: bytes) -> str:
+    def one(m: re.Match) -> str:
+        word = m[0]
+        if word.isdigit():
+            return _number(word, key, "house")
+        if word in STREETS or word in PARTICLES:
+            return word
+        stem = re.fullmatch(rf"(.{{2,}})({GERMAN})", word)
+        return _cased(_letters(_low(stem[1]), key, "street"), stem[1]) + stem[2] if stem else _cased(_letters(_low(word), key, "street"), word)
 
-_MAKE = {"email": _email, "phone": _phone, "ip": _ip, "card": _card, "name": _name}
+    return re.sub(r"\d+|[^\W\d_]+", one, text)
+
+
+_MAKE = {"email": _email, "iban": _iban, "phone": _phone, "ip": _ip, "ip6": _ip6, "national": _national, "card": _card, "address": _address, "name": _name}
+
+
+def _real(kind: str, text: str) -> bool:
+    """What a pattern can't say."""
+    if kind == "iban":
+        return _iban_rest(text.replace(" ", "")) == 1
+    if kind == "ip6":
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return False
+        return sum(map(bool, text.split(":"))) >= 3
+    return True
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), not overlapping, in order."""
-    taken: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []
+    taken = bytearray(len(text))
+
+    def take(a: int, b: int, kind: str) -> None:
+        if not any(taken[a:b]):
+            taken[a:b] = b"\1" * (b - a)
+            found.append((a, b, kind))
+
     for kind, pattern in _PATTERNS.items():
-        if _HINT[kind] and _HINT[kind] not in text:
+        if kind in _HINT and _HINT[kind] not in text:
             continue
         for m in pattern.finditer(text):
-            g = 0 if kind != "name" else 1 if m[1] else 2
-            a, b = m.span(g)
-            if not any(x < b and a < y for x, y, _ in taken):
-                taken.append((a, b, kind))
-    return sorted(taken)
+            a, b = m.span(0 if kind != "name" else 1 if m[1] else 2)
+            if _real(kind, text[a:b]):
+                take(a, b, kind)
+    parts = {p for a, b, kind in found if kind == "name" for p in text[a:b].split(" ") if len(p) > 2}
+    if parts:
+        bare = sorted({v for p in parts for v in (p, p.upper(), p.capitalize())})
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, bare))})(?!\w)", text):
+            take(*m.span(), "name")
+    return sorted(found)
 
 
 def canonical(kind: str, text: str) -> str:
     """Equal for entities that are the same one, however written."""
-    if kind in ("phone", "card"):
+    if kind in ("phone", "card", "national"):
         return "".join(c for c in text if c.isdigit())
-    return text
+    if kind == "ip":
+        return str(_octets(text))
+    if kind == "ip6":
+        return str(int(ipaddress.IPv6Address(text)))
+    return text.replace(" ", "") if kind == "iban" else _low(text)
 
 
 def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[int, int, str]]]:
+    """The text with surrogates, and the entities (start, end, kind) that it had."""
     if not text:
         return text, []
     out, at, found = [], 0, entities(text)
     forth: dict[tuple[str, str], str] = {}
     back: dict[tuple[str, str], str] = {}
+    own: dict[tuple[str, str], bytes] = {}
     for a, b, kind in found:
-        new = _MAKE[kind](text[a:b], key)
-        one, two = canonical(kind, text[a:b]), canonical(kind, new)
-        if forth.setdefault((kind, one), two) != two or back.setdefault((kind, two), one) != one:
-            raise ValueError(f"two entities of kind {kind} share a surrogate")
+        one = canonical(kind, text[a:b])
+        use = own.get((kind, one), key)
+        while True:
+            new = _MAKE[kind](text[a:b], use)
+            two = canonical(kind, new)
+            if back.setdefault((kind, two), one) == one and forth.setdefault((kind, one), two) == two:
+                break
+            use = own[kind, one] = blake2b(use, digest_size=32).digest()
+            forth.pop((kind, one), None)
         out += [text[at:a], new]
         at = b
     return "".join([*out, text[at:]]), found

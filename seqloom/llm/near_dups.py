@@ -11,13 +11,20 @@ pair at the threshold lies beyond it with a chance of MISS at most: at 80 percen
 2. The keys of all classes are aggregated to the smallest class of each key; keys of one class only are dropped.
 3. Each class is compared with the closest of those smallest ones. The confirmed links form components.
 4. Within keys that span components still, classes are compared across components by signature, in cells of bounded size:
-   first, in NEAREST rounds, each with the closest one outside its component; then all pairs within RADIUS, and within FAR
-   of a longer signature (4 deviations above the mean at the threshold). They are confirmed on full sets. Pairs inside a
-   component are already decided, so a dense group never spreads into all its pairs; no pair across components is skipped.
+   first, in NEAREST rounds, each with the closest one outside its component; then all pairs within the radius. They are
+   confirmed on full sets, but for those whose longer signatures differ in FAR deviations more symbols than the threshold
+   has them do on average (at 6, one of a billion pairs at the threshold). Pairs inside a component are already decided, so a
+   dense group never spreads into all its pairs; no pair across components is skipped.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; texts of under five words have
-one shingle, the whole sequence; rows that share a doc_id and text are judged alike; ties go to the smaller doc_id; an empty
-table gives an empty result; other columns are never read, and `keep` passes them on, clashing names included.
+one shingle, the whole sequence; rows that share a doc_id are judged by their own texts, and alike if these are equal; rows
+without doc_id come after all others, as if they shared the largest id (their component_id is null if no row of it has an id;
+the first of a group is kept with all rows of its id); ties go to the smaller doc_id; an empty table gives an empty result;
+other columns are never read, and `keep` passes them on, clashing names included.
+
+A limit: a key that very many classes share without being similar (pages of one large template) is compared in cells of
+CELL by CELL classes, so nothing is lost and no task grows, but the number of cells grows with the square of that key's
+classes.
 """
 
 from __future__ import annotations
@@ -38,6 +45,7 @@ from seqloom.llm import common, shingles
 SIMILARITY = 85
 CELL = 256
 NEAREST = 2
+FAR = 6
 #: Symbols of the longer signature.
 LONG = 256
 
@@ -79,13 +87,13 @@ def _sign(symbols: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.working("shingles", shingles.forget)
         for batch in batches:
-            ids, n, digests, sigs = batch.column(0), [], [], []
-            for text in batch.column(1):
+            n, digests, sigs = [], [], []
+            for text in batch.column(2):
                 own = shingles.of(text.as_py())
                 n.append(len(own))
                 digests.append(shingles.digest(own) if len(own) else None)
                 sigs.append(shingles.signature(own, symbols).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "version", "n", "digest", "sig"])
 
     return sign
 
@@ -93,8 +101,13 @@ def _sign(symbols: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common.working("shingles", shingles.forget)
     for batch in batches:
-        sets = [shingles.of(text.as_py()) for text in batch.column(1)]
-        arrays = [batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([shingles.signature(x, LONG).tobytes() for x in sets], pa.binary())]
+        ids, sets = [], []
+        for node, digest, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            own = shingles.of(text.as_py())
+            if len(own) and shingles.digest(own) == digest.as_py():  # not another text of the same doc_id
+                ids.append(node.as_py())
+                sets.append(own)
+        arrays = [pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([shingles.signature(x, LONG).tobytes() for x in sets], pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, ["id", "set", "long"])
 
 
@@ -143,7 +156,7 @@ def _across(percent: int, nearest: bool):  # noqa: ANN202
     signature, and whose first common key this is. nearest: of each class only the pair with the closest one of a component
     with a smaller id, so that a large component, which mostly has the smallest, asks for nothing."""
     share, form = percent / 100, layout(percent)
-    bound = int(LONG * (1 - share) + 4 * (LONG * share * (1 - share)) ** 0.5)
+    bound = int(LONG * (1 - share) + FAR * (LONG * share * (1 - share)) ** 0.5)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,19 +222,20 @@ def _merged(spark: SparkSession, first: DataFrame, links: DataFrame) -> DataFram
     return common.settle(spark, kept.unionByName(added), "components")
 
 
-def find(spark: SparkSession, docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+def _judged(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
+    """For every row of docs: doc_id (never null, see common.order_id), version, n, component_id."""
     common.prepare(spark)
-    own, form = docs.select("doc_id", "text"), layout(percent)
-    signed = common.settle(spark, own.mapInArrow(_sign(form.symbols), "doc_id long, n long, digest binary, sig binary"), "signed")
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = common.settle(spark, classes, "classes")
+    own, form = docs.select(common.order_id("doc_id").alias("doc_id"), F.xxhash64("text").alias("version"), "text"), layout(percent)
+    signed = common.settle(spark, own.mapInArrow(_sign(form.symbols), "doc_id long, version long, n long, digest binary, sig binary"), "signed")
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # Below, a class goes by a number of its own, as two may have the same smallest doc_id.
+    classes = common.settle(spark, classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     keys = _keys(classes, form)
     least = keys.groupBy("key", "id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "id", "lo")
     shared = common.settle(spark, keys.join(least, ["key", "id"]), "shared")
-    involved = shared.select(F.col("rep").alias("doc_id")).distinct()
-    sets = own.join(involved, "doc_id").mapInArrow(_sets, "id long, set binary, long binary").dropDuplicates(["id"])
+    involved = shared.select("rep").distinct().join(classes, "rep").select("rep", "digest", F.col("first_id").alias("doc_id"))
+    sets = own.select("doc_id", "text").join(involved, "doc_id").select("rep", "digest", "text").mapInArrow(_sets, "id long, set binary, long binary").dropDuplicates(["id"])
     sets = common.settle(spark, sets, "sets")
 
     brief = classes.select("rep", "n", "sig")
@@ -251,13 +265,25 @@ def find(spark: SparkSession, docs: DataFrame, percent: int = SIMILARITY) -> Dat
             continue
         placed = _merged(spark, placed, links)
 
-    reps = classes.select("digest", "rep").join(placed, classes["rep"] == placed["id"], "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "digest").join(reps, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # Classes that are linked, and rows without shingles, go their own ways: no join has a key that all of them share.
+    linked = placed.join(classes.select("digest", "rep", "first_id"), placed["id"] == classes["rep"]).select("digest", "first_id", "comp")
+    least = linked.groupBy("comp").agg(F.min("first_id").alias("least"))
+    linked = linked.join(least, "comp").select("digest", "least")
+    reps = classes.select("digest", "first_id").join(linked, "digest", "left").select("digest", F.coalesce("least", "first_id").alias("component_id"))
+    out = signed.select("doc_id", "version", "n", "digest").join(reps, "digest").drop("digest")
+    return out.unionByName(signed.where("digest is null").select("doc_id", "version", "n", F.col("doc_id").alias("component_id")))
+
+
+def find(spark: SparkSession, docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    given = lambda c: F.when(F.col(c) < 2**63 - 1, F.col(c)).alias(c)
+    out = _judged(spark, docs, percent)
+    return out.select(given("doc_id"), F.col("n").alias("n_shingles"), given("component_id"), (F.col("component_id") == F.col("doc_id")).alias("kept"))
 
 
 def keep(spark: SparkSession, docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """docs without those that aren't the first of their group."""
-    gone = find(spark, docs, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    id_, version = common.fresh(docs, "id", "version")
+    gone = _judged(spark, docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(id_), F.col("version").alias(version)).distinct()
+    keyed = docs.withColumns({id_: common.order_id("doc_id"), version: F.xxhash64("text")})
+    return keyed.join(gone, [id_, version], "left_anti").select(*docs.columns)

@@ -154,6 +154,20 @@ def test_near_duplicates_on_odd_tables(spark):
     assert sorted(r.doc_id for r in out.collect()) == [0, 3] and len(out.columns) == 10
 
 
+def test_rows_of_near_duplicates_are_told_apart(spark):
+    rng = random.Random(12)
+    w, v, u = prose(rng, 40), prose(rng, 40), prose(rng, 40)
+    rows = [(3, w), (5, w), (5, v), (None, v), (None, u), (5, u + " one"), (7, u + " one more"), (3, w)]
+    names = ["doc_id", "text", "_id", "_version", "rep", "DOC"]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, k) for k, r in enumerate(rows)], "doc_id long, text string, _id long, _version long, rep long, DOC long")
+    out = near_dups.keep(spark, docs)
+    assert out.columns == names and sorted(r.DOC for r in out.collect()) == [0, 2, 5, 7]
+    found = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dups.find(spark, docs).collect()), key=str)
+    assert found == sorted([(3, 3, True), (3, 3, True), (5, 3, False), (5, 5, True), (None, 5, False), (None, 5, False), (5, 5, True), (7, 5, False)], key=str)
+    alone = near_dups.find(spark, docs.where("DOC = 4")).first()
+    assert (alone.doc_id, alone.component_id, alone.kept) == (None, None, True)
+
+
 def test_near_duplicates_of_the_pipeline(spark):
     # Pairs of Jaccard 0.80 to 0.85 by single substitutions, each of which changes five shingles.
     rng, texts = random.Random(8), []
@@ -436,6 +450,39 @@ def test_no_entity_stays():
         assert all(pii.permuted(x, n, b"k" * 32, "t") != x for x in range(n))
 
 
+def test_the_same_entity_keeps_its_surrogate():
+    key = b"k" * 32
+    new, found = pii.replace("hosts 1.2.3.4 and 01.2.3.4, Jo@x.org and jo@X.ORG", key)
+    ips, mails = re.findall(r"\d+\.\d+\.\d+\.\d+", new), re.findall(r"\S+@\S+", new)
+    assert len(found) == 4 and ips[0] == ips[1] != "1.2.3.4" and mails[0] != mails[1] and mails[0].lower() == mails[1].lower() and mails[0][0].isupper()
+    new, found = pii.replace("Mrs. Anna Keller. Keller said; Anna left. ANNA KELLER; McAnna stays, kellers stay. Mr McDonald, MCDONALD", key)
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+)\. (\w+) said; (\w+) left\. (\w+) (\w+); McAnna stays, kellers stay\. Mr (\w+), (\w+)", new)
+    assert m[1] == m[4] and m[2] == m[3] and m[5] == m[1].upper() and m[6] == m[2].upper() and m[7].upper() == m[8] and len(found) == 7
+    assert not {"Anna", "Keller", "McDonald"} & set(re.findall(r"\w+", new.replace("McAnna", "")))
+
+
+def test_more_kinds_of_entities():
+    key = b"k" * 32
+    cases = {
+        "06 12 34 56 78": "phone", "555 123 4567": "phone", "123-45-6789": "national", "DE89 3704 0044 0532 0130 00": "iban", "GB29NWBK60161331926819": "iban",
+        "2001:db8:0:1:2:3:4:5": "ip6", "fe80::1ff:fe23:4567": "ip6", "221 Baker Street": "address", "12 rue de la Paix": "address", "Calle Mayor, 7": "address", "Bahnhofstraße 12": "address",
+    }
+    for text, kind in cases.items():
+        new, found = pii.replace(f"at {text}, then", key)
+        assert [(text, k) for _, _, k in found] == [(text, kind)] and text not in new, text
+        other = new[3 : -len(", then")]
+        assert pii.entities(f"at {other}, then")[0][2] == kind and re.sub(r"\w", "", other).replace(":", "") == re.sub(r"\w", "", text).replace(":", "")
+    assert pii.replace("GB29NWBK60161331926818 at 12:34:56 in std::vector or a::b", key)[1] == []
+    assert pii._iban_rest(pii.replace("GB29NWBK60161331926819", key)[0]) == 1
+    names = pii.replace("My name is Zebulon Quince. Ich heiße Wiebke Ohm. Меня зовут Глеб Ушаков.", key)
+    assert [k for _, _, k in names[1]] == ["name"] * 3
+    numbers = [f"{k:03d}-{k % 89 + 10}-{k + 1000}" for k in range(1, 600)]
+    assert len({pii.replace(x, key)[0] for x in numbers}) == len(numbers)
+    long = "Dr Ohm met Dr Ahm at 10.0.0.1. " * 20_000
+    new, found = pii.replace(long, key)
+    assert len(found) == 60_000 and new == pii.replace(long[: len(long) // 20_000], key)[0] * 20_000
+
+
 def test_surrogates_stay_distinct(spark):
     texts = [f"write to user{k}@host{k % 7}.org from {k % 250}.{k % 199}.7.{k % 11 + 1}" for k in range(800)] + [None, "", "nothing here"]
     got = {r.doc_id: r for r in pii.report(spark, table(spark, texts, EXTRA), "key").collect()}

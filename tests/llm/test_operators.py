@@ -233,6 +233,50 @@ def test_contamination(spark):
     assert decontaminate.clean(docs, bench.where("item_id < 0")).count() == len(texts) + len(clean)
 
 
+def test_seeds_meet_every_allowed_placing():
+    from itertools import combinations
+
+    for n in range(1, decontaminate.LONG):
+        own = decontaminate.masks([n])
+        clear = [sum(1 << (at + k) for k, c in enumerate(m) if c == "1") for m, lo, hi in own if lo <= n <= hi for at in range(n - len(m) + 1)]
+        wrong = int(n * (1 - decontaminate.SHARE) + 1e-9)
+        assert all(any(not c & bad for c in clear) for bad in (sum(1 << k for k in places) for places in combinations(range(n), wrong))), n
+    rng = random.Random(13)
+    for n in range(decontaminate.LONG, 80):
+        clear = [sum(1 << (at + k) for k, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for at in range(n - decontaminate.SPAN + 1)]
+        bad = [sum(1 << k for k in rng.sample(range(n), n // 5)) for _ in range(300)]
+        assert sum(any(not c & b for c in clear) for b in bad) >= 299, n
+
+
+@pytest.mark.parametrize("most", [decontaminate.MAX_BROADCAST, 0])
+def test_short_items_and_both_paths(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", most)
+    rng = random.Random(14)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (1, 3, 4, 5, 7, 8, 9, 10, 14, 19, 24, 30, 60)}
+    texts, want = [], []
+    for n, w in items.items():
+        for wrong in range(n // 5 + 2):
+            own = list(w)
+            for j in rng.sample(range(n), min(n, wrong)):
+                own[j] = "other"
+            texts.append(" ".join([*prose(rng, rng.randint(0, 9)).split(), *own, *prose(rng, 5).split()]))
+            right = [x == y for x, y in zip(own, w, strict=True)]
+            best = now = 0
+            for x in right:
+                now = max(0, now + (1 if x else -2))
+                best = max(best, now)
+            want.append(sum(right) >= 0.8 * n or best >= decontaminate.RUN)
+    bench = spark.createDataFrame([(n, " ".join(w).upper()) for n, w in items.items()], "item_id long, text string")
+    got = {r.doc_id: r.contaminated for r in decontaminate.report(table(spark, [*texts, "word " * 50_000]), bench).collect()}
+    assert got == dict(enumerate([*want, False]))
+    item = " ".join(items[30])
+    rows = [(None, item), (7, item), (7, "a clean text"), (None, "clean too"), (None, None), (7, item)]
+    docs = spark.createDataFrame([(*r, 1, 2, k) for k, r in enumerate(rows)], "doc_id long, text string, _id long, __found long, _VERSION long")
+    out = decontaminate.clean(docs, bench)
+    assert out.columns == docs.columns and sorted(r[4] for r in out.collect()) == [2, 3, 4]
+    assert sorted(r.contaminated for r in decontaminate.report(docs, bench).collect()) == [False] * 3 + [True] * 3
+
+
 # --- byte-level BPE
 
 

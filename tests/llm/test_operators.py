@@ -346,6 +346,32 @@ def test_secrets_behind_layers():
     assert secrets.find(bomb)[1] == []
 
 
+def test_secrets_behind_harder_layers():
+    import textwrap
+
+    import zstandard
+
+    secret = 'token = "abcdefghijklmnop"'
+    raw = secret.encode()
+    b64 = lambda b: base64.b64encode(b).decode()
+    nine = raw * 2
+    for k in range(9):
+        nine = (gzip.compress, zlib.compress, zstandard.ZstdCompressor().compress)[k % 3](nine)
+    noise = bytes(random.Random(15).randrange(256) for _ in range(3000))
+    layers = {
+        "nine": b64(nine), "path": f"data/{b64(raw)}", "path before": f"{b64(raw)}/more-of-it", "shifted": f"ab{b64(raw)}", "utf-16": b64(secret.encode("utf-16")), "utf-16-be": b64(secret.encode("utf-16-be")),
+        "latin": b64(("é" + secret).encode("latin-1")), "percent": "%FF" + "".join(f"%{x:02X}" for x in raw), "member": b64(gzip.compress(b"first") + gzip.compress(raw)), "binary": b64(noise[:40] + raw + noise[40:80]),
+        "wrapped": "\n".join(textwrap.wrap(b64(gzip.compress(noise + b" " + raw)), 76)), "wrapped text": "\r\n".join(textwrap.wrap(b64(raw * 5), 20)), "names": secret.replace('"', "&quot;").replace("=", "&equals;"),
+        "two frames": b64(zstandard.ZstdCompressor().compress(b"one") + zstandard.ZstdCompressor().compress(raw)),
+    }
+    for name, x in layers.items():
+        base, spans = secrets.find(f"é before {x} after")
+        assert any(k == 0 and 9 <= a and b <= 9 + len(x) for a, b, k in spans) and not base, name
+    loop = secrets._opened(gzip.compress(b"x" * 50))
+    assert loop[-1] == b"x" * 50
+    assert secrets.find("A" * 200_000)[1] == [] and secrets.find("%FF%FE" * 50_000)[1] == []
+
+
 def test_secrets_of_a_table(spark):
     texts = [None, "", "token: abcdefabcdefabcd", "token: abcdefabcdefabcd", "x " * 100_000]
     rows = {r.doc_id: r for r in secrets.report(spark, table(spark, texts, EXTRA)).collect()}

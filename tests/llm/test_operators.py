@@ -408,6 +408,36 @@ def test_neighbours(spark):
     assert [v for _, v, _ in sorted(found[50])] == [1000, 1001, 1002, 1003, 1004]
 
 
+def searched(x, settings, k=5):
+    """Recall of the k nearest, and the share of vectors compared, for every 50th row."""
+    asked = np.arange(0, len(x), 50)
+    met = np.zeros((len(asked), len(x)), dtype=bool)
+    for t in range(settings.tables):
+        filed, looked = ann.bucket(x, t, settings.second), ann.probes(x[asked], t, settings.second, settings.probes)
+        for i, own in enumerate(looked):
+            met[i] |= np.isin(filed, own)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -9
+    near = np.argsort(-s, axis=1)[:, :k]
+    return np.take_along_axis(met, near, 1).mean(), met.mean(), near
+
+
+def test_settings_suit_the_size():
+    rng, shares = np.random.default_rng(8), []
+    middles = rng.normal(size=(400, 64))
+    for n in (2000, 10_000, 50_000):
+        x = middles[rng.integers(0, 400, n)] + 0.7 * rng.normal(size=(n, 64))
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        near = searched(x, ann.Settings(1, 1, 0))[2][: ann.FIT]
+        q = np.repeat(np.arange(0, 50 * len(near), 50), 5)
+        own = ann.fit(x[q], x[near.ravel()], np.arange(len(q)), n, n // 50)
+        recall, share, _ = searched(x, own)
+        print(n, own, recall, share)
+        assert recall >= 0.9
+        shares.append(share)
+    assert shares[2] < 0.6 * shares[0]
+
+
 def test_neighbours_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = ann.search(spark, spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [-1.0, 0.1])], schema)).collect()

@@ -503,6 +503,23 @@ def test_quality_by_two_views(spark):
     assert [r.score for r in none] == [0.5, 0.5] and quality.score(spark, table(spark, []), own).count() == 0
 
 
+def test_quality_reads_the_content(spark):
+    # Good and bad texts differ by their words alone; few have labels, and held-out ones count.
+    rng, rows, labels = random.Random(16), [], []
+    for k in range(1200):
+        good = rng.random() < 0.6
+        first = 0 if good else 150
+        text = " ".join(f"w{first + rng.randrange(200)}" for _ in range(rng.randint(40, 90)))
+        rows.append((k, text, "en", f"src{rng.randrange(4) if good else 2 + rng.randrange(4)}", len(text)))
+        labels.append((k, int(good), 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    own = spark.createDataFrame([x for x in labels if x[0] % 4 == 0 or zlib.crc32(str(x[0]).encode()) % 3 == 1] + [(0, 1 - labels[0][1], 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.score(spark, docs, own).collect()}
+    held = [k for k in got if got[k].held_out]
+    right = lambda name: sum((getattr(got[k], name) >= 0.5) == labels[k][1] for k in held) / len(held)
+    assert right("text_score") > 0.95 and right("score") > 0.95 and right("meta_score") > 0.6
+
+
 # --- surrogates
 
 

@@ -16,7 +16,9 @@ frequency go to the smaller word; empty tables give empty results; other columns
 Plan: words are counted in the tasks before they are shuffled. The frequent words, KEEP at most, are broadcast with their
 counts; the counts of all other words reach the texts by a join on the word, in which no word is frequent. Training is one
 pass in ROUNDS rounds: each training document is in one of them, with all its positions. The tasks of a round begin from the
-same start; their parameters are averaged by an aggregation over parameter numbers.
+same start; their parameter vectors are averaged in a tree, FAN to one, so a round sends one vector a task and one to the
+driver. The model so depends, within the noise of stochastic training, on how the table is split into tasks: the same files
+and settings give the same scores, another split slightly other ones. Counts, base_score and the shares in classes don't.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from seqloom.llm import common
 MODEL_WORDS, BUCKETS, KEEP, WIDTH = 1200, 400, 120_000, 24
 ROUNDS, BATCH, NOISE, RATIO, RATE = 2, 2048, 64, 16.0, 0.05
 SMOOTH_WORDS = 250_000
+FAN = 64
 END = b""
 
 
@@ -266,25 +269,45 @@ def train(spark: SparkSession, texts: DataFrame, v: Vocabulary) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([own.flat.tolist()], pa.list_(pa.float32()))], ["weight", "flat"])
 
         share = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn)
-        parts = share.select("text").mapInArrow(run, "weight double, flat array<float>")
-        mean = parts.select("weight", F.posexplode("flat").alias("k", "x")).groupBy("k").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x"))
-        got = mean.toPandas()  # one row a parameter
-        flat = model.flat.copy()
-        flat[got["k"].to_numpy(dtype=np.int64)] = got["x"].to_numpy()
-        model = Model(v.outcomes, flat)
+        parts = common.settle(spark, share.select("text").mapInArrow(run, "weight double, flat array<float>"), "parameters")
+        n = parts.count()
+        while n > 1:
+            n = -(-n // FAN)
+            parts = common.settle(spark, parts.repartition(n).mapInArrow(_mean, "weight double, flat array<float>"), "parameters")
+        got = parts.first()
+        model = Model(v.outcomes, np.array(got["flat"], dtype=np.float32)) if got else model
     return model
 
 
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weighted mean of the vectors of a task, with the sum of their weights."""
+    weight, total = 0.0, None
+    for batch in batches:
+        for w, flat in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = w * flat.values.to_numpy().astype(np.float64)
+            weight, total = weight + w, own if total is None else total + own
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32)], pa.list_(pa.float32()))], ["weight", "flat"])
+
+
+def learned(spark: SparkSession, texts: DataFrame) -> tuple[DataFrame, Vocabulary, Model]:
+    """From the training documents (doc_id, text): the counts of their words, the vocabulary and the model."""
+    counts = texts.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = common.settle(spark, counts, "words")
+    v = vocabulary(counts)
+    return counts, v, train(spark, texts, v)
+
+
 def score(spark: SparkSession, docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     common.prepare(spark)
     out = F.coalesce(common.remainder("doc_id", modulus) == held, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    learn = texts.where(~out)
-    counts = learn.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = common.settle(spark, counts, "words")
-    v = vocabulary(counts)
-    model = train(spark, learn, v)
+    return applied(spark, texts.withColumn("held_out", out), *learned(spark, texts.where(~out)))
+
+
+def applied(spark: SparkSession, texts: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
+    """The columns of `score` for texts (doc_id, text, held_out)."""
     shared = spark.sparkContext.broadcast((v, model.flat))
     ends = v.ends
 
@@ -309,7 +332,7 @@ def score(spark: SparkSession, docs: DataFrame, modulus: int = 7, held: int = 2)
             arrays = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64()), pa.array(rest, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "n", "known", "base", "model", "rest"])
 
-    own = texts.select("doc_id", out.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, n long, known long, base double, model double, rest array<binary>")
+    own = texts.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n long, known long, base double, model double, rest array<binary>")
     own = common.settle(spark, own.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = own.select("row", F.explode("rest").alias("word")).join(counts, "word")
     rest = rest.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("logs"))

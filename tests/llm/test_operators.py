@@ -640,6 +640,46 @@ def test_scores(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "KEEP", 60)
+    monkeypatch.setattr(lm, "MODEL_WORDS", 25)
+    rng = random.Random(17)
+    texts = [" ".join(f"w{int(120 * rng.random() ** 2)}" for _ in range(rng.randint(0, 60))) for _ in range(200)] + [None, "", "w1 neverseen w1", "W1  w2" * 3000]
+    docs = table(spark, texts).select("doc_id", "text", F.lit(False).alias("held_out"))
+    counts, v, model = lm.learned(spark, docs.where("doc_id < 200"))
+    got = {r.doc_id: r.score for r in lm.applied(spark, docs, counts, v, model).collect()}
+    n = Counter(w for t in texts[:200] for w in [*common.tokens(t), b""])
+    top = v.words[: v.n_model]
+    outcome = {w: k for k, w in enumerate(top)} | {b"": v.end}
+    of = lambda w: outcome.get(w, v.n_model + 1 + lm.bucket(w) if w else None)
+    classes = Counter()
+    for w in n:
+        if w and w not in outcome:
+            classes[of(w)] += n[w] + 1
+    q, b = model.target.astype(float), model.bias.astype(float)
+
+    def chance(far, near):
+        r = model.context[far].astype(float) @ model.places[0] + model.context[near].astype(float) @ model.places[1]
+        p = np.exp(r @ q.T + b)
+        return p / p.sum()
+
+    def share(w):
+        return 1.0 if w in outcome else (n[w] + 1) / (classes[of(w)] + 1)
+
+    for k, t in enumerate(texts[:40] + texts[200:203]):
+        k = k if k < 40 else 160 + k
+        far = near = v.outcomes
+        total = 0.0
+        for w in [*common.tokens(t), b""]:
+            total += math.log10(chance(far, near)[of(w)] * share(w))
+            far, near = near, of(w)
+        assert math.isclose(got[k], total, rel_tol=2e-4, abs_tol=1e-3), (k, got[k], total)
+    # Over all next words, with one unseen word a class, probabilities add up to 1.
+    p = chance(outcome[top[0]], outcome[top[1]])
+    every = sum(p[of(w)] * share(w) for w in n) + sum(p[v.n_model + 1 + c] / (classes[v.n_model + 1 + c] + 1) for c in range(lm.BUCKETS))
+    assert math.isclose(every, 1, rel_tol=1e-9)
+
+
 def test_model_is_normalised_and_learns():
     rng = np.random.default_rng(11)
     n = 30

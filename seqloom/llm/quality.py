@@ -253,7 +253,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: fl
     rows = own.mapInArrow(_read, "doc_id long, key long, stats array<float>, words binary, meta array<int>")
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("of"))
     known = known.agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").select("of", "quality")
-    rows = rows.join(known, (F.col("key") == F.col("of")) & F.col("doc_id").isNotNull(), "left").drop("of", "key")
+    rows = rows.join(known.hint("merge"), (F.col("key") == F.col("of")) & F.col("doc_id").isNotNull(), "left").drop("of", "key")
     rows = common.settle(spark, rows.withColumn("row", F.monotonically_increasing_id()).withColumn("tie", F.xxhash64("doc_id")), "views")
     held = F.coalesce(common.remainder("doc_id", 3) == 1, F.lit(False))
     train = rows.where(F.col("quality").isNotNull() & ~held).orderBy("tie", "doc_id", "row").limit(MAX_LABELLED).toArrow()

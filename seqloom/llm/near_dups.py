@@ -13,7 +13,7 @@ pair at the threshold lies beyond it with a chance of MISS at most: at 80 percen
 4. Within keys that span components still, classes are compared across components by signature, in cells of bounded size:
    first, in NEAREST rounds, each with the closest one outside its component; then all pairs within the radius. They are
    confirmed on full sets, but for those whose longer signatures differ in FAR deviations more symbols than the threshold
-   has them do on average (at 6, one of a billion pairs at the threshold). Pairs inside a component are already decided, so a
+   has them do on average (at 5, one of some three million pairs at the threshold). Pairs inside a component are already decided, so a
    dense group never spreads into all its pairs; no pair across components is skipped.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; texts of under five words have
@@ -45,9 +45,9 @@ from seqloom.llm import common, shingles
 SIMILARITY = 85
 CELL = 256
 NEAREST = 2
-FAR = 6
+FAR = 5
 #: Symbols of the longer signature.
-LONG = 256
+LONG = 512
 
 
 #: The chance that a pair at the threshold lies beyond the radius.

@@ -13,7 +13,8 @@ Defined cases: a null text is an empty one, which has one token, its end; rows t
 held-out rows teach nothing, rows without doc_id are not held out; with nothing to learn from, all words are unseen; ties in
 frequency go to the smaller word; empty tables give empty results; other columns aren't read.
 
-Plan: words are counted in the tasks before they are shuffled. The frequent words, KEEP at most, are broadcast with their
+Plan: texts are read twice, for the counts and into 16-bit outcomes, which are written; training and scoring read those. Words
+are counted in the tasks before they are shuffled. The frequent words, KEEP at most, are broadcast with their
 counts; the counts of all other words reach the texts by a join on the word, in which no word is frequent. Training is one
 pass in ROUNDS rounds: each training document is in one of them, with all its positions. The tasks of a round begin from the
 same start; their parameter vectors are averaged in a tree, FAN to one, so a round sends one vector a task and one to the
@@ -196,10 +197,13 @@ class Model:
         g /= step
         self.flat -= g
 
+    def scores(self) -> tuple[np.ndarray, np.ndarray]:
+        """By (farther, word) and (nearer, word)."""
+        return self.context @ self.places[0] @ self.target.T, self.context @ self.places[1] @ self.target.T + self.bias
+
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores by (farther, word) and (nearer, word), and the log normaliser by (farther, nearer)."""
-        one = self.context @ self.places[0] @ self.target.T
-        two = self.context @ self.places[1] @ self.target.T + self.bias
+        """The scores, and the log normaliser by (farther, nearer)."""
+        one, two = self.scores()
         a, b = one.max(axis=1), two.max(axis=1)
         return one, two, np.log(np.exp(one - a[:, None]) @ np.exp(two - b[:, None]).T + np.float32(1e-30)) + a[:, None] + b
 
@@ -229,13 +233,12 @@ def unigram(v: Vocabulary) -> np.ndarray:
     return counts / counts.sum()
 
 
-def lessons(texts: Iterator[str | None], reader: Reader) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Both contexts and the outcome of every position of the texts, BATCH together, fewer only in the last."""
+def _batched(sequences: Iterator[np.ndarray], before: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Both contexts and the outcome of every position of sequences of outcomes, BATCH together, fewer only in the last."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
-    for text in texts:
-        _, outcomes, _ = reader.read(text)
-        held.append((*_contexts(outcomes, reader.v.outcomes), outcomes))
+    for outcomes in sequences:
+        held.append((*_contexts(outcomes, before), outcomes))
         size += len(outcomes)
         if size >= BATCH:
             far, near, word = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -248,28 +251,60 @@ def lessons(texts: Iterator[str | None], reader: Reader) -> Iterator[tuple[np.nd
         yield far, near, word
 
 
+def lessons(texts: Iterator[str | None], reader: Reader) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Those of texts."""
+    return _batched((reader.read(text)[1] for text in texts), reader.v.outcomes)
+
+
+def encoded(spark: SparkSession, texts: DataFrame, v: Vocabulary) -> DataFrame:
+    """texts (doc_id, text, held_out) read once and written: row, doc_id, held_out, n (tokens), known (of kept words), base (sum of
+    their log10 counts), within (log10 of shares in classes, as far as kept words go), outcomes (16-bit), rest (words not kept)."""
+    shared = spark.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        reader = Reader(v)
+        log_count = np.append(np.log10(v.counts + 1), 0.0)
+        share = np.zeros(v.outcomes)
+        share[v.n_model + 1 :] = np.log10(v.class_tokens + v.class_types + 1)
+        rare = np.arange(v.outcomes) > v.n_model
+        for batch in batches:
+            rows = []
+            for text in batch.column(2):
+                places, outcomes, rest = reader.read(text.as_py())
+                logs = log_count[places]
+                within = float(logs[rare[outcomes[:-1]]].sum() - share[outcomes].sum())
+                rows.append((len(outcomes), int((places >= 0).sum()) + (v.ends > 0), float(logs.sum()) + np.log10(v.ends + 1), within, outcomes.astype(np.uint16).tobytes(), rest))
+            n, known, base, value, ids, rest = zip(*rows, strict=True) if rows else ((),) * 6
+            arrays = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64()), pa.array(ids, pa.binary()), pa.array(rest, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "n", "known", "base", "within", "outcomes", "rest"])
+
+    own = texts.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n long, known long, base double, within double, outcomes binary, rest array<binary>")
+    return common.settle(spark, own.withColumn("row", F.monotonically_increasing_id()), "encoded")
+
+
 def train(spark: SparkSession, texts: DataFrame, v: Vocabulary) -> Model:
-    """texts: doc_id, text of the training documents."""
+    """texts: doc_id, text of the training documents, or what `encoded` made of them."""
+    if "outcomes" not in texts.columns:
+        texts = encoded(spark, texts.withColumn("held_out", F.lit(False)), v)
     noise = unigram(v)
-    model = Model.start(noise)
-    words = spark.sparkContext.broadcast(v)
+    model, before = Model.start(noise), v.outcomes
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.flat)
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, start=start) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            reader = Reader(words.value)
-            own = Model(words.value.outcomes, start.value.copy())
+            own = Model(before, start.value.copy())
             state = np.full_like(own.flat, 1e-6)
             rng = np.random.Generator(np.random.PCG64(turn))
             seen = 0
-            for far, near, word in lessons((text.as_py() for batch in batches for text in batch.column(0)), reader):
+            for far, near, word in _batched((np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for batch in batches for x in batch.column(0)), before):
                 own.train(far, near, word, noise, state, rng)
                 seen += len(word)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([own.flat.tolist()], pa.list_(pa.float32()))], ["weight", "flat"])
 
-        share = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn)
-        parts = common.settle(spark, share.select("text").mapInArrow(run, "weight double, flat array<float>"), "parameters")
+        share = texts.where(F.pmod(F.xxhash64("doc_id", "outcomes"), F.lit(ROUNDS)) == turn)
+        parts = common.settle(spark, share.select("outcomes").mapInArrow(run, "weight double, flat array<float>"), "parameters")
         n = parts.count()
         while n > 1:
             n = -(-n // FAN)
@@ -290,53 +325,43 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32)], pa.list_(pa.float32()))], ["weight", "flat"])
 
 
-def learned(spark: SparkSession, texts: DataFrame) -> tuple[DataFrame, Vocabulary, Model]:
-    """From the training documents (doc_id, text): the counts of their words, the vocabulary and the model."""
+def counted(spark: SparkSession, texts: DataFrame) -> tuple[DataFrame, Vocabulary]:
+    """From the training documents (text): the counts of their words, and the vocabulary."""
     counts = texts.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = common.settle(spark, counts, "words")
-    v = vocabulary(counts)
-    return counts, v, train(spark, texts, v)
+    return counts, vocabulary(counts)
 
 
 def score(spark: SparkSession, docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     common.prepare(spark)
     out = F.coalesce(common.remainder("doc_id", modulus) == held, F.lit(False))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return applied(spark, texts.withColumn("held_out", out), *learned(spark, texts.where(~out)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", out.alias("held_out"))
+    counts, v = counted(spark, texts.where("not held_out"))
+    own = encoded(spark, texts, v)
+    return applied(spark, own, counts, v, train(spark, own.where("not held_out"), v))
 
 
-def applied(spark: SparkSession, texts: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
-    """The columns of `score` for texts (doc_id, text, held_out)."""
-    shared = spark.sparkContext.broadcast((v, model.flat))
-    ends = v.ends
+def applied(spark: SparkSession, own: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
+    """The columns of `score` for what `encoded` made of texts."""
+    one, two, norm = model.tables()
+    shared = spark.sparkContext.broadcast((model.flat, norm))
+    outcomes = v.outcomes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, flat = shared.value
-        reader, own = Reader(v), Model(v.outcomes, flat)
-        one, two, norm = own.tables()
-        log_count = np.append(np.log10(v.counts + 1), 0.0)
-        share = np.zeros(v.outcomes)
-        share[v.n_model + 1 :] = np.log10(v.class_tokens + v.class_types + 1)
-        rare = np.arange(v.outcomes) > v.n_model
+        flat, norm = shared.value
+        one, two = Model(outcomes, flat).scores()
         for batch in batches:
-            rows = []
-            for text in batch.column(2):
-                places, outcomes, rest = reader.read(text.as_py())
-                far, near = _contexts(outcomes, own.n)
-                model_part = float((one[far, outcomes] + two[near, outcomes] - norm[far, near]).sum(dtype=np.float64)) / np.log(10)
-                logs = log_count[places]
-                within = float(logs[rare[outcomes[:-1]]].sum() - share[outcomes].sum())
-                rows.append((len(outcomes), int((places >= 0).sum()) + (ends > 0), float(logs.sum()) + np.log10(ends + 1), model_part + within, rest))
-            n, known, base, value, rest = zip(*rows, strict=True) if rows else ((),) * 5
-            arrays = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64()), pa.array(rest, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "n", "known", "base", "model", "rest"])
+            values = []
+            for x in batch.column("outcomes"):
+                word = np.frombuffer(x.as_py(), np.uint16).astype(np.int64)
+                far, near = _contexts(word, outcomes)
+                values.append(float((one[far, word] + two[near, word] - norm[far, near]).sum(dtype=np.float64)) / np.log(10))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], [*batch.schema.names[:-1], "model"])
 
-    own = texts.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n long, known long, base double, model double, rest array<binary>")
-    own = common.settle(spark, own.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = own.select("row", F.explode("rest").alias("word")).join(counts, "word")
     rest = rest.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("logs"))
-    both = own.drop("rest").join(rest, "row", "left")
+    both = own.select("row", "doc_id", "held_out", "n", "known", "base", "within", "outcomes").mapInArrow(run, "row long, doc_id long, held_out boolean, n long, known long, base double, within double, model double").join(rest, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     every = float(np.log10(v.total + v.types + 1))
     return both.select(
@@ -346,5 +371,5 @@ def applied(spark: SparkSession, texts: DataFrame, counts: DataFrame, v: Vocabul
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(v.total).cast("long").alias("train_tokens"),
         (F.col("base") + logs - F.col("n") * F.lit(every)).alias("base_score"),
-        (F.col("model") + logs).alias("score"),
+        (F.col("model") + F.col("within") + logs).alias("score"),
     )

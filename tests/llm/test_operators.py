@@ -646,8 +646,10 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     rng = random.Random(17)
     texts = [" ".join(f"w{int(120 * rng.random() ** 2)}" for _ in range(rng.randint(0, 60))) for _ in range(200)] + [None, "", "w1 neverseen w1", "W1  w2" * 3000]
     docs = table(spark, texts).select("doc_id", "text", F.lit(False).alias("held_out"))
-    counts, v, model = lm.learned(spark, docs.where("doc_id < 200"))
-    got = {r.doc_id: r.score for r in lm.applied(spark, docs, counts, v, model).collect()}
+    counts, v = lm.counted(spark, docs.where("doc_id < 200"))
+    own = lm.encoded(spark, docs, v)
+    model = lm.train(spark, own.where("doc_id < 200"), v)
+    got = {r.doc_id: r.score for r in lm.applied(spark, own, counts, v, model).collect()}
     n = Counter(w for t in texts[:200] for w in [*common.tokens(t), b""])
     top = v.words[: v.n_model]
     outcome = {w: k for k, w in enumerate(top)} | {b"": v.end}

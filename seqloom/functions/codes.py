@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Marks that join codes, syllable patterns, folded letters, weights of certainty.
@@ -11,6 +11,16 @@ SYLLABLE = {"rapanui": "(?:ng|[ghkmnprtv])?[aeiou]", "hawaiian": "[hklmnpw]?[aei
 ACCENTED, PLAIN = "àáâãäåèéêëìíîïòóôõöùúûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy"
 
 
+# Groups of sign numbers.
+GROUPS = [
+    (1, 199, "objects_plants_phenomena"),
+    (300, 399, "anthropomorphic_300series"),
+    (400, 499, "miscellaneous_400s"),
+    (500, 599, "miscellaneous_500s"),
+    (600, 699, "bird_headed"),
+    (700, 799, "zoomorphic"),
+]
+
 def parse_code(code: Column) -> Column:
     """Struct of base (null if unreadable or compound), inverted, uncertain, modifiers."""
     bare = F.regexp_replace(code, "[!?]", "")
@@ -37,7 +47,9 @@ def strip_zeros(code: Column) -> Column:
 
 
 def kind(code: Column) -> Column:
-    return F.when(code.rlike("[:.]"), "ligature").when(code.rlike(";"), "multi_sign").when(code.rlike("[0-9]-[0-9]"), "range").when(code.rlike(SEPARATORS), "compound").otherwise("simple")
+    """ligature, multi_sign, range_notation (a range in brackets or at the start), compound; simple without any separator."""
+    span = r"\(.*-.*\)|^[0-9]+-[0-9]+"
+    return F.when(code.rlike("[:.]"), "ligature").when(code.rlike(";"), "multi_sign").when(code.rlike(span), "range_notation").when(code.rlike(r"[()-]"), "compound").otherwise("simple")
 
 
 def base_number(code: Column) -> Column:
@@ -45,10 +57,31 @@ def base_number(code: Column) -> Column:
 
 
 def implicit_group(code: Column) -> Column:
-    """Century of the number; 200 to 299 with its decade; unknown without digits."""
-    n = F.regexp_replace(code, "[^0-9]", "").try_cast("int")
-    tens = F.concat_ws("-", F.lit("200"), (F.floor(n / 10) * 10).cast("string"))
-    return F.when(n.isNull(), "unknown").when(n.between(200, 299), tens).otherwise((F.floor(n / 100) * 100).cast("string"))
+    """The group of the number; 200 to 299 by the tens digit; unknown without digits, compound_or_other outside 1 to 799."""
+    n = F.regexp_replace(code, "[^0-9]", "").try_cast("decimal(38,0)")
+    out = F.when(n.isNull(), "unknown").when(n.between(200, 299), F.concat(F.lit("anthropomorphic_head"), (F.floor(n / 10) % 10).cast("int").cast("string")))
+    for lo, hi, name in GROUPS:
+        out = out.when(n.between(lo, hi), name)
+    return out.otherwise("compound_or_other")
+
+
+def is_glyph(code: Column) -> Column:
+    return F.coalesce(code.rlike("[0-9]"), F.lit(False))
+
+
+def canonical(allographs: Column, code: Column) -> Column:
+    """The canonical sign of a variant; the code itself where the map has none."""
+    return F.coalesce(F.try_element_at(allographs, code), code)
+
+
+def known(signs: Column, code: Column) -> Column:
+    """Whether the map of signs has the code, or the code without leading zeros."""
+    return F.coalesce(F.map_contains_key(signs, code) | F.map_contains_key(signs, F.regexp_replace(code, "^0+(?=[0-9])", "")), F.lit(False))
+
+
+def family(families: Column, code: Column) -> Column:
+    """The curated family of the code, by the code, without leading zeros, or by its digits; else unknown."""
+    return F.coalesce(lookup(families, code), F.lit("unknown"))
 
 
 def lookup(table: Column, code: Column) -> Column:
@@ -58,6 +91,28 @@ def lookup(table: Column, code: Column) -> Column:
     return F.coalesce(*[F.nullif(F.try_element_at(table, t), F.lit("")) for t in tries])
 
 
+def catalogued(rows: DataFrame, signs: DataFrame, variants: DataFrame) -> DataFrame:
+    """rows (code) with what a catalog says: known, family, canonical, taxogram, variants (all codes of the canonical sign's group, in
+    order; the code alone without one). signs: code, family, taxogram; variants: code, canonical. A catalog of signs is small
+    beside the rows; it joins by equality, and the optimiser broadcasts it where its size allows."""
+    bare, digits = F.regexp_replace("code", "^0+(?=[0-9])", ""), F.ltrim(F.regexp_replace("code", "[^0-9]", ""), F.lit("0"))
+    out = rows
+    for k, key in enumerate((F.col("code"), bare, F.lpad(digits, 3, "0"), digits)):
+        own = signs.select(F.col("code").alias("__key"), F.col("family").alias(f"__f{k}"), F.col("taxogram").alias(f"__t{k}"))
+        out = out.join(own, key == F.col("__key"), "left").withColumn(f"__h{k}", F.col("__key").isNotNull()).drop("__key")
+    groups = variants.select("code", "canonical").union(variants.select("canonical", "canonical")).groupBy("canonical").agg(F.array_sort(F.collect_set("code")).alias("variants"))
+    out = out.join(variants.select(F.col("code").alias("__key"), "canonical"), F.col("code") == F.col("__key"), "left").drop("__key")
+    out = out.withColumn("canonical", F.coalesce("canonical", "code")).join(groups, "canonical", "left")
+    return out.select(
+        *[rows[c] for c in rows.columns],
+        (F.col("__h0") | F.col("__h1")).alias("known"),
+        F.coalesce(*[f"__f{k}" for k in range(4)], F.lit("unknown")).alias("family"),
+        "canonical",
+        F.coalesce("__t0", F.lit(False)).alias("taxogram"),
+        F.coalesce("variants", F.array("code")).alias("variants"),
+    )
+
+
 def tree_distance(a: Column, b: Column) -> Column:
     return F.when(a == b, 0).when(F.floor(a / 10) == F.floor(b / 10), 1).when(F.floor(a / 100) == F.floor(b / 100), 2).otherwise(3)
 

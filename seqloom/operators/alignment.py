@@ -7,17 +7,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.stats import double
-from seqloom.sources.storage import cut
+from seqloom.operators.graph import components  # noqa: F401 part of this module's interface too
 
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 def lettered(tokens: DataFrame) -> DataFrame:
     """tablet, word: each tablet's tokens as one character each, for the built-in edit distance. ASCII for up to 62 types;
-    beyond that, characters of the basic plane from U+4E00 on (20,000 types)."""
+    beyond that, characters from U+10000 on (a million types, checked)."""
     code = tokens.select("tok").distinct().withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("tok")))
     ascii_ = F.substring(F.lit(ALPHABET), F.col("k"), F.lit(1))
-    wide = F.decode(F.unhex(F.lpad(F.hex(F.col("k") + 0x4E00), 4, "0")), "UTF-16BE")
+    wide = F.when(F.col("k") < 0x100000, F.decode(F.unhex(F.lpad(F.hex(F.col("k") + 0xFFFF), 8, "0")), "UTF-32")).otherwise(F.raise_error(F.lit("too many types of tokens for one character each")))
     code = code.withColumn("c", F.when(F.max("k").over(Window.partitionBy(F.lit(0))) <= len(ALPHABET), ascii_).otherwise(wide))
     own = tokens.join(F.broadcast(code), "tok").groupBy("tablet").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("s"))
     return own.select("tablet", F.array_join(F.transform("s", lambda x: x["c"]), "").alias("word"))
@@ -52,28 +52,12 @@ def substitutions(forms: DataFrame) -> DataFrame:
     n = F.size("form")
     own = forms.select("passage", "tablet", "form", F.explode(F.sequence(F.lit(1), n)).alias("at"))
     own = own.withColumn("rest", F.concat(F.slice("form", 1, F.col("at") - 1), F.slice("form", F.col("at") + 1, n))).withColumn("tok", F.element_at("form", F.col("at")))
-    one = own.select("passage", "rest", "at", "tablet", "tok").distinct()
-    a, b = one.select("passage", "rest", "at", F.col("tablet").alias("ta"), F.col("tok").alias("a")), one.select("passage", "rest", "at", F.col("tablet").alias("tb"), F.col("tok").alias("b"))
+    one = own.select("passage", "rest", "at", "tok").distinct()  # however many tablets share it
+    a, b = one.select("passage", "rest", "at", F.col("tok").alias("a")), one.select("passage", "rest", "at", F.col("tok").alias("b"))
     both = a.join(b, ["passage", "rest", "at"]).where("a < b")
     return both.groupBy("a", "b").agg(F.count_distinct("passage").alias("passages"), F.count_distinct(F.struct("passage", "rest", "at")).alias("slots"))
 
 
-def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, component (smallest node reachable) by label passing until nothing changes; every second round is checkpointed."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node")
-    before = None
-    for k in range(rounds):
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("low"))
-        label = label.join(near, label["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"))
-        label = cut(label) if k % 2 else label
-        state = label.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()[0]
-        if state == before:
-            break
-        before = state
-    return label
-
-
 def consensus(forms: DataFrame) -> DataFrame:
     """From (passage, stratum, ord, form): the most frequent token of each place, the first seen among equals."""
     cells = forms.select("passage", "stratum", "ord", F.posexplode("form").alias("at", "tok"))

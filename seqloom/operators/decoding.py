@@ -94,7 +94,7 @@ def completed(sequences: DataFrame, model: dict[tuple[str, str], float], vocabul
         out = []
         for seq in seqs:
             found = []
-            for i, x in enumerate(seq):
+            for i, x in enumerate(seq if seq is not None else ()):
                 if x is None:
                     left = seq[i - 1] if i else "<s>"
                     right = seq[i + 1] if i + 1 < len(seq) else "</s>"

@@ -17,6 +17,26 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (smallest node reachable) of edges (a, b), by large-star and small-star rounds until nothing changes; a
+    path of n nodes takes some log n of them. Nodes of loops only are their own components; null ends take no part."""
+    edges = edges.where("a is not null and b is not null").select("a", "b")
+    all_ = cut(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct())
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = None
+    while True:
+        both = now.union(now.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        now = cut(small.where("a <> b").distinct())
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == seen:
+            return all_.join(now.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))
+        seen = state
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """In and out degree over n - 1."""
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"), F.sum("weight").alias("strength"))
@@ -32,7 +52,7 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     """Power iteration with weighted out-edges; nodes without any spread evenly. Every fourth round is checkpointed."""
     edges = cut(edges)
     all_ = cut(nodes(edges))
-    n = all_.count()
+    n = max(1, all_.count())
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     share = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
     sinks = all_.join(out.withColumnRenamed("src", "node"), "node", "left_anti")

@@ -72,10 +72,15 @@ def leave_one_out(tokens: DataFrame, order: int = 2, alpha: float = 0.5) -> Data
 
 
 def top_next(model: DataFrame, order: int, k: int, alpha: float = 0.5) -> DataFrame:
-    """The k likeliest tokens after each seen context, ties by token."""
+    """The k likeliest tokens after each seen context, ties by token; tokens never seen after it follow those that were."""
+    words = model.where((F.col("n") == 1) & ~F.col("tok").isin(START, STOP)).select("tok").distinct()
     types = model.where((F.col("n") == 1) & ~F.col("tok").isin(START, STOP)).agg(F.count("*").alias("v"))
     grams = model.where(F.col("n") == order)
     total = grams.groupBy("ctx").agg(F.sum("f").alias("t"))
+    # A context with under k followers takes from the first 2 k types, of which k at least are others.
+    few = grams.groupBy("ctx").agg(F.count("*").alias("own")).where(F.col("own") < k).select("ctx")
+    rest = few.crossJoin(F.broadcast(words.orderBy("tok").limit(2 * k))).join(grams.select("ctx", "tok"), ["ctx", "tok"], "left_anti")
+    grams = grams.select("ctx", "tok", "f").unionByName(rest.select("ctx", "tok", F.lit(0).cast("long").alias("f")))
     own = grams.join(total, "ctx").crossJoin(F.broadcast(types)).withColumn("lp", F.log2((double("f") + alpha) / (double("t") + alpha * F.col("v"))))
     rank = F.row_number().over(Window.partitionBy("ctx").orderBy(F.desc("f"), "tok"))
     return own.withColumn("rank", rank).where(F.col("rank") <= k).select(F.array_join("ctx", " ").alias("ctx"), "rank", "tok", "lp")

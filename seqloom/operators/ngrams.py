@@ -121,7 +121,7 @@ def find_patterns(tokens: DataFrame, patterns: DataFrame) -> DataFrame:
     for n in sorted(r[0] for r in patterns.select(F.size("pattern")).distinct().collect()):
         own = windows(tokens, n).join(F.broadcast(patterns.where(F.size("pattern") == n)), F.col("gram") == F.col("pattern")).select("name", "tablet", "pos")
         out = own if out is None else out.unionByName(own)
-    return out
+    return patterns.join(tokens, F.lit(False)).select("name", "tablet", "pos") if out is None else out
 
 
 def chains(rows: DataFrame, at: str, gap: float, *by: str) -> DataFrame:

@@ -28,6 +28,8 @@ def anneal(spark: SparkSession, counts: dict[tuple[int, int], int], scores: list
     two; its change of score is computed from the bigrams of the tokens it touches only. Symbols used more than `cap` times
     cost a squared penalty.
     """
+    if not counts or not scores:
+        raise ValueError("chains need bigrams and scores")
     n, m = 1 + max(max(k) for k in counts), len(scores)
     shared = spark.sparkContext.broadcast((counts, scores))
 

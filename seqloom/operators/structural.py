@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,19 +31,58 @@ def slots(tokens: DataFrame) -> DataFrame:
     return d.join(heads, ["tablet", "tok"])
 
 
-def mirror_span(tokens: DataFrame, longest: int = 8) -> DataFrame:
-    """Per tablet: the longest arm s for which tokens match symmetrically around a place or a gap, all nearer ones too. Centres
-    meet their arms by equality joins on position."""
-    t = tokens.select("tablet", "pos", "tok")
-    arms = t.select("tablet", F.col("pos").alias("l"), F.col("tok"), F.explode(F.sequence(F.lit(1), F.lit(2 * longest))).alias("gap"))
-    other = t.select("tablet", F.col("pos").alias("r"), F.col("tok").alias("mate"))
-    both = arms.withColumn("r", F.col("l") + F.col("gap")).join(other, ["tablet", "r"])
-    both = both.select("tablet", (F.col("l") + F.col("r")).alias("centre"), F.ceil(F.col("gap") / 2).cast("int").alias("s"), (F.col("tok") == F.col("mate")).alias("same"))
-    both = both.where(F.col("s") <= longest)
-    w = Window.partitionBy("tablet", "centre").orderBy("s")
-    run = both.withColumn("bad", F.sum((~F.col("same")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("bad = 0")
-    best = run.groupBy("tablet", "centre").agg(F.max("s").alias("arm"))
-    return best.groupBy("tablet").agg(F.max("arm").alias("arm"), F.count("*").alias("centres"))
+def _arms(tokens: list) -> list[tuple[int, int]]:
+    """(l + r, arm) of every place and gap of the tokens with a matching pair around it, by Manacher's algorithm."""
+    out, n = [], len(tokens)
+    for gap in (0, 1):  # around a place, around the gap before it
+        radius, lo, hi = [0] * n, 0, -1
+        for i in range(n):
+            k = 0 if i > hi else min(radius[lo + hi - i + gap], hi - i + 1)
+            while i - k - gap >= 0 and i + k < n and tokens[i - k - gap] == tokens[i + k]:
+                k += 1
+            radius[i] = k
+            if i + k - 1 > hi:
+                lo, hi = i - k + 1 - gap, i + k - 1
+            arm = k - 1 + gap
+            if arm > 0:
+                out.append((2 * i - gap, arm))
+    return out
+
+
+def _span(tokens: list, centre: int, arm: int, least: int, distinct: float, over: int) -> int:
+    """The deepest part of an arm, from the centre on, of `least` tokens or more of which a share of `distinct` differ; 0 if none is
+    deeper than `over`."""
+    seen, best = set(), 0
+    for s in range(1, arm + 1):
+        seen.add(tokens[(centre + 1) // 2 - s if centre % 2 else centre // 2 - s])
+        if s >= least and len(seen) >= distinct * s:
+            best = s
+    return best if best > over else 0
+
+
+def mirror_span(tokens: DataFrame, least: int = 1, distinct: float = 0.0) -> DataFrame:
+    """Per tablet: the longest arm for which tokens match symmetrically around a place or a gap, all nearer ones too, and how many
+    centres have one. Arms count from `least` tokens on, up to where a share of `distinct` of their tokens still differ, which keeps
+    runs of one token out. Arms have any length; a tablet's tokens are read in one task. Tablets without a match don't appear;
+    a null token matches none."""
+
+    @F.pandas_udf("struct<arm int, centres long>")
+    def run(sequences: pd.Series) -> pd.DataFrame:
+        rows = []
+        for own in sequences:
+            own = [object() if x is None else x for x in own]
+            arms = _arms(own)
+            best = 0
+            for centre, arm in sorted(arms, key=lambda x: -x[1]):
+                if arm <= best:
+                    break
+                best = max(best, _span(own, centre, arm, least, distinct, best))
+            rows.append((best, len(arms)))
+        return pd.DataFrame(rows, columns=["arm", "centres"])
+
+    own = tokens.groupBy("tablet").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("s"))
+    own = own.select("tablet", run(F.transform("s", lambda x: x["tok"])).alias("m"))
+    return own.select("tablet", "m.arm", "m.centres").where("arm > 0")
 
 
 def walsh(truth: DataFrame, bits: int) -> DataFrame:

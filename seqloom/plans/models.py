@@ -56,7 +56,8 @@ def perplexity_loo(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_EV}, v AS (SELECT count(*)::DOUBLE AS v FROM m1 WHERE tok <> '</s>'), q AS (SELECT c2, c1, tok, f, sum(f) OVER (PARTITION BY c2, c1)::DOUBLE AS t, row_number() OVER (PARTITION BY c2, c1 ORDER BY f DESC, tok) AS rank FROM m3)
+    f"""WITH {_EV}, v AS (SELECT count(*)::DOUBLE AS v FROM m1 WHERE tok <> '</s>'), w1 AS (SELECT DISTINCT tok FROM m1 WHERE tok <> '</s>'), a3 AS (SELECT c2, c1, tok, f FROM m3 UNION ALL SELECT c2, c1, w1.tok, 0 FROM (SELECT DISTINCT c2, c1 FROM m3) x, w1 WHERE NOT EXISTS (FROM m3 y WHERE y.c2 = x.c2 AND y.c1 = x.c1 AND y.tok = w1.tok)),
+ q AS (SELECT c2, c1, tok, f, sum(f) OVER (PARTITION BY c2, c1)::DOUBLE AS t, row_number() OVER (PARTITION BY c2, c1 ORDER BY f DESC, tok) AS rank FROM a3)
  SELECT concat(c2, ' ', c1) AS ctx, rank, tok, round(log2((f + 0.5) / (t + 0.5 * v)), 6) AS lp FROM q, v WHERE rank <= 3""",
     "ue",
 )
@@ -204,7 +205,11 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rs.interval(rs.bootstrap(src.part_baskets(spark, d), 20, 42, "stratum"), "ic", 0.89, "stratum"))
 
 
-_NULL = f"""sh AS (SELECT replica, tablet, tok, row_number() OVER (PARTITION BY replica, tablet ORDER BY {_DRAW.format("'7:' || replica || ':' || tablet || ':' || (pos // {b})")}, pos // {{b}}, pos) - 1 AS pos FROM ue, (SELECT unnest(range(19)) AS replica)),
+def _null(block: int) -> str:
+    turn = f"(pos + {_DRAW.format("'7:' || replica || ':' || tablet || ':turn'")} % n) % n" if block > 1 else "pos"
+    key = _DRAW.format(f"'7:' || replica || ':' || tablet || ':' || (pos // {block})")
+    return f"""tu AS (SELECT replica, tablet, tok, {turn} AS pos FROM (SELECT *, count(*) OVER (PARTITION BY tablet) AS n FROM ue), (SELECT unnest(range(19)) AS replica)),
+ sh AS (SELECT replica, tablet, tok, row_number() OVER (PARTITION BY replica, tablet ORDER BY {key}, pos // {block}, pos) - 1 AS pos FROM tu),
  nb AS (SELECT replica, tok, lead(tok) OVER (PARTITION BY replica, tablet ORDER BY pos) AS nxt FROM sh), no AS (SELECT replica, count(*) FILTER (WHERE tok = nxt)::DOUBLE AS t FROM nb GROUP BY replica),
  ob AS (SELECT count(*) FILTER (WHERE tok = nxt)::DOUBLE AS observed FROM (SELECT tok, lead(tok) OVER (PARTITION BY tablet ORDER BY pos) AS nxt FROM ue))"""
 
@@ -216,13 +221,13 @@ def _repeats(tokens: DataFrame, *by: str) -> DataFrame:
     return tokens.withColumn("nxt", nxt).groupBy(*by).agg(double(F.count_if(F.col("tok") == F.col("nxt"))).alias("t"))
 
 
-@query(f"WITH {_NULL.format(b=1)} SELECT observed, count(*) FILTER (WHERE t >= observed) AS ge, round((1 + count(*) FILTER (WHERE t >= observed)) / (1.0 + count(*)), 6) AS p, round((observed - avg(t)) / stddev_pop(t), 6) AS z FROM no, ob GROUP BY observed", "ue")
+@query(f"WITH {_null(1)} SELECT observed, count(*) FILTER (WHERE t >= observed) AS ge, round((1 + count(*) FILTER (WHERE t >= observed)) / (1.0 + count(*)), 6) AS p, round((observed - avg(t)) / stddev_pop(t), 6) AS z FROM no, ob GROUP BY observed", "ue")
 def perm_pvalue(spark: SparkSession, d: str) -> DataFrame:
     t = src.user_events(spark, d)
     return rounded(rs.permutation_p(_repeats(t), _repeats(rs.shuffled(t, 19, 7), "replica"), "t"))
 
 
-@query(f"WITH {_NULL.format(b=3)} SELECT observed, count(*) FILTER (WHERE t >= observed) AS ge, round(count(*) FILTER (WHERE t >= observed) / count(*)::DOUBLE, 6) AS p, round((observed - avg(t)) / stddev_pop(t), 6) AS z FROM no, ob GROUP BY observed", "ue")
+@query(f"WITH {_null(3)} SELECT observed, count(*) FILTER (WHERE t >= observed) AS ge, round(count(*) FILTER (WHERE t >= observed) / count(*)::DOUBLE, 6) AS p, round((observed - avg(t)) / stddev_pop(t), 6) AS z FROM no, ob GROUP BY observed", "ue")
 def perm_pvalue_blocks(spark: SparkSession, d: str) -> DataFrame:
     t = src.user_events(spark, d)
     return rounded(rs.permutation_p(_repeats(t), _repeats(rs.shuffled(t, 19, 7, 3), "replica"), "t", plus_one=False))

@@ -35,14 +35,14 @@ def compound_parts(spark: SparkSession, d: str) -> DataFrame:
     return _codes(spark, d).select("p_partkey", F.array_join(co.parts(F.col("code")), "|").alias("parts"))
 
 
-@query(f"SELECT CASE WHEN regexp_matches(code, '[:.]') THEN 'ligature' WHEN contains(code, ';') THEN 'multi_sign' WHEN regexp_matches(code, '[0-9]-[0-9]') THEN 'range' WHEN regexp_matches(code, '[.\\-:;''’]') THEN 'compound' ELSE 'simple' END AS kind, count(*) AS n, count(DISTINCT code) AS codes FROM (SELECT {_CODE} AS code FROM part) GROUP BY 1")
+@query(f"SELECT CASE WHEN regexp_matches(code, '[:.]') THEN 'ligature' WHEN contains(code, ';') THEN 'multi_sign' WHEN regexp_matches(code, '\\(.*-.*\\)|^[0-9]+-[0-9]+') THEN 'range_notation' WHEN regexp_matches(code, '[()-]') THEN 'compound' ELSE 'simple' END AS kind, count(*) AS n, count(DISTINCT code) AS codes FROM (SELECT {_CODE} AS code FROM part) GROUP BY 1")
 def code_kinds(spark: SparkSession, d: str) -> DataFrame:
     return _codes(spark, d).groupBy(co.kind(F.col("code")).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("code").alias("codes"))
 
 
 @query(
     f"""WITH c AS (SELECT p_partkey, {_CODE} AS code FROM part), n AS (SELECT *, try_cast(regexp_replace(code, '[^0-9]', '', 'g') AS INT) AS n FROM c)
- SELECT p_partkey, CASE WHEN n IS NULL THEN 'unknown' WHEN n BETWEEN 200 AND 299 THEN '200-' || (n // 10 * 10) ELSE (n // 100 * 100)::VARCHAR END AS grp, try_cast(regexp_replace(split_part(code, '.', 1), '[^0-9]', '', 'g') AS INT) AS base_number, regexp_replace(lower(trim(code)), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') AS stripped FROM n"""
+ SELECT p_partkey, CASE WHEN n IS NULL THEN 'unknown' WHEN n BETWEEN 200 AND 299 THEN 'anthropomorphic_head' || (n // 10 % 10) WHEN n BETWEEN 1 AND 199 THEN 'objects_plants_phenomena' WHEN n BETWEEN 300 AND 399 THEN 'anthropomorphic_300series' WHEN n BETWEEN 400 AND 499 THEN 'miscellaneous_400s' WHEN n BETWEEN 500 AND 599 THEN 'miscellaneous_500s' WHEN n BETWEEN 600 AND 699 THEN 'bird_headed' WHEN n BETWEEN 700 AND 799 THEN 'zoomorphic' ELSE 'compound_or_other' END AS grp, try_cast(regexp_replace(split_part(code, '.', 1), '[^0-9]', '', 'g') AS INT) AS base_number, regexp_replace(lower(trim(code)), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') AS stripped FROM n"""
 )
 def code_groups(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("code")
@@ -144,3 +144,22 @@ def tier_resolve(spark: SparkSession, d: str) -> DataFrame:
     a, b = t.select(F.col("k").alias("k1"), F.col("tier").alias("t1")), t.select(F.col("k").alias("k2"), F.col("tier").alias("t2"))
     out = x.join(F.broadcast(a), x["s"] == F.col("k1"), "left").join(F.broadcast(b), F.replace("s", F.lit(" "), F.lit("")) == F.col("k2"), "left")
     return out.select("c_custkey", F.coalesce("t1", "t2", F.lit(-1)).alias("tier"))
+
+
+# A catalog of signs from the part table: every fifth number is known, variants have a canonical sign, sizes are families.
+_SIGNS = """sg AS (SELECT DISTINCT (p_partkey % 500)::VARCHAR AS code, 'fam' || (p_partkey % 500 % 7) AS fam, p_partkey % 500 % 11 = 0 AS taxogram FROM part WHERE p_partkey % 5 = 0),
+ al AS (SELECT DISTINCT (p_partkey % 500)::VARCHAR AS code, (p_partkey % 500 // 10 * 10)::VARCHAR AS canonical FROM part WHERE p_partkey % 3 = 0),
+ q AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN lpad((p_partkey % 500)::VARCHAR, 3, '0') WHEN 1 THEN (p_partkey % 500)::VARCHAR ELSE (p_partkey % 500) || 'a' END AS code FROM part)"""
+
+
+@query(
+    f"""WITH {_SIGNS}, g AS (SELECT canonical, list(code ORDER BY code) AS members FROM (SELECT code, canonical FROM al UNION SELECT canonical, canonical FROM al) GROUP BY 1), z AS (SELECT *, regexp_replace(code, '^0+([0-9])', '\\1') AS bare, regexp_replace(code, '[^0-9]', '', 'g') AS digits FROM q)
+ SELECT p_partkey, a.code IS NOT NULL OR b.code IS NOT NULL AS known, coalesce(a.fam, b.fam, c.fam, e.fam, 'unknown') AS family, coalesce(x.canonical, z.code) AS canonical, coalesce(a.taxogram, false) AS taxogram, array_to_string(coalesce(g.members, [z.code]), ' ') AS variants
+ FROM z LEFT JOIN sg a ON a.code = z.code LEFT JOIN sg b ON b.code = z.bare LEFT JOIN sg c ON c.code = lpad(ltrim(z.digits, '0'), 3, '0') LEFT JOIN sg e ON e.code = ltrim(z.digits, '0') LEFT JOIN al x ON x.code = z.code LEFT JOIN g ON g.canonical = coalesce(x.canonical, z.code)"""
+)
+def catalog_lookup(spark: SparkSession, d: str) -> DataFrame:
+    part, no = src.read(spark, d, "part"), F.col("p_partkey") % 500
+    signs = part.where("p_partkey % 5 = 0").select(no.cast("string").alias("code"), F.concat(F.lit("fam"), (no % 7).cast("string")).alias("family"), (no % 11 == 0).alias("taxogram")).distinct()
+    variants = part.where("p_partkey % 3 = 0").select(no.cast("string").alias("code"), (F.floor(no / 10) * 10).cast("string").alias("canonical")).distinct()
+    code = F.when(F.col("p_partkey") % 3 == 0, F.lpad(no.cast("string"), 3, "0")).when(F.col("p_partkey") % 3 == 1, no.cast("string")).otherwise(F.concat(no.cast("string"), F.lit("a")))
+    return co.catalogued(part.select("p_partkey", code.alias("code")), signs, variants).select("p_partkey", "known", "family", "canonical", "taxogram", F.array_join("variants", " ").alias("variants"))

@@ -33,14 +33,22 @@ def slot_statistics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(st.slots(src.user_events(spark, d)))
 
 
+_ARMS = """b AS (SELECT l.tablet, l.pos + r.pos AS centre, (r.pos - l.pos + 1) // 2 AS s, l.tok AS tok, l.tok = r.tok AS same FROM ue l JOIN ue r ON l.tablet = r.tablet AND r.pos > l.pos),
+ k AS (SELECT *, sum((NOT same)::INT) OVER (PARTITION BY tablet, centre ORDER BY s) AS bad FROM b)"""
+
+
+@query(f"WITH {_ARMS}, m AS (SELECT tablet, centre, max(s) AS arm FROM k WHERE bad = 0 GROUP BY ALL) SELECT tablet, max(arm)::INT AS arm, count(*) AS centres FROM m GROUP BY tablet", "ue")
+def mirror_span(spark: SparkSession, d: str) -> DataFrame:
+    return st.mirror_span(src.user_events(spark, d))
+
+
 @query(
-    """WITH b AS (SELECT l.tablet, l.pos + r.pos AS centre, (r.pos - l.pos + 1) // 2 AS s, l.tok = r.tok AS same FROM ue l JOIN ue r ON l.tablet = r.tablet AND r.pos > l.pos AND (r.pos - l.pos + 1) // 2 <= 8),
- k AS (SELECT *, sum((NOT same)::INT) OVER (PARTITION BY tablet, centre ORDER BY s) AS bad FROM b), m AS (SELECT tablet, centre, max(s) AS arm FROM k WHERE bad = 0 GROUP BY ALL)
- SELECT tablet, max(arm)::INT AS arm, count(*) AS centres FROM m GROUP BY tablet""",
+    f"""WITH {_ARMS}, g AS (SELECT tablet, centre, list(tok ORDER BY s) AS arm FROM k WHERE bad = 0 GROUP BY ALL), q AS (SELECT tablet, centre, arm, unnest(range(1, len(arm) + 1)) AS s FROM g)
+ SELECT tablet, max(s)::INT AS arm, (SELECT count(*) FROM g WHERE g.tablet = q.tablet) AS centres FROM q WHERE s >= 2 AND list_unique(arm[1:s]) >= 0.6 * s GROUP BY tablet""",
     "ue",
 )
-def mirror_span(spark: SparkSession, d: str) -> DataFrame:
-    return st.mirror_span(src.user_events(spark, d))
+def mirror_gated(spark: SparkSession, d: str) -> DataFrame:
+    return st.mirror_span(src.user_events(spark, d), 2, 0.6)
 
 
 # Truth table: is the extended price of the parts of a size class over the median of all classes?

@@ -117,6 +117,49 @@ def test_alignment(spark):
     assert [x for x, _ in al.needleman_wunsch(list("acd"), list("abcd"))] == ["a", None, "c", "d"]
 
 
+def test_components_of_a_long_path(spark):
+    path = [(k, k + 1) for k in range(100)]
+    edges = spark.createDataFrame([*path, (300, 299), (500, 500), (None, 3)], "a long, b long")
+    got = {r.node: r.component for r in al.components(edges).collect()}
+    assert got == {**dict.fromkeys(range(101), 0), 299: 299, 300: 299, 500: 500}
+    assert al.components(edges.where("a < 0")).count() == 0
+
+
+def test_mirrors_of_any_length(spark):
+    import random
+
+    from seqloom.operators import structural as st
+
+    def brute(t, least, distinct):
+        best = centres = 0
+        for c in range(2 * len(t) - 1):
+            left, right = ((c - 1) // 2, c // 2 + 1)
+            arm = []
+            while left >= 0 and right < len(t) and t[left] == t[right]:
+                arm.append(t[left])
+                left, right = left - 1, right + 1
+            centres += bool(arm)
+            best = max([best, *(s for s in range(least, len(arm) + 1) if len(set(arm[:s])) >= distinct * s)])
+        return best, centres
+
+    rng = random.Random(3)
+    own = {0: list("abcdefghijklmnopqrst" + "tsrqponmlkjihgfedcba"), 1: ["x"] * 50, 2: ["a"], 3: ["a", "b"]}
+    own |= {k: [rng.choice("abc") for _ in range(rng.randint(1, 40))] for k in range(4, 40)}
+    t = spark.createDataFrame([(k, i, x) for k, v in own.items() for i, x in enumerate(v)], "tablet long, pos long, tok string")
+    for least, distinct in ((1, 0.0), (2, 0.6), (3, 1.0)):
+        want = {k: brute(v, least, distinct) for k, v in own.items()}
+        assert {r.tablet: (r.arm, r.centres) for r in st.mirror_span(t, least, distinct).collect()} == {k: v for k, v in want.items() if v[0]}
+
+
+def test_empty_inputs(spark):
+    from seqloom.operators import graph, ngrams
+
+    edges = spark.createDataFrame([], "src string, dst string, weight double")
+    assert graph.pagerank(edges).count() == 0
+    tokens = spark.createDataFrame([(1, 0, "a")], "tablet long, pos long, tok string")
+    assert ngrams.find_patterns(tokens, spark.createDataFrame([], "name string, pattern array<string>")).columns == ["name", "tablet", "pos"]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "y")], "a string, b string")
     assert {r.node: r.component for r in al.components(edges).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}

@@ -98,13 +98,19 @@ def discounts(model: DataFrame) -> DataFrame:
     return own.select("n", "n1", "n2", "n3", "n4", one(1), one(2), one(3))
 
 
-def interpolated(tokens: DataFrame, model: DataFrame, order: int) -> DataFrame:
+def interpolated(tokens: DataFrame, model: DataFrame, order: int, second: DataFrame | None = None, from_order: int = 4, alpha: float = 0.15, places: DataFrame | None = None) -> DataFrame:
     """p at every place by interpolated absolute discounting of raw counts over an add-one unigram; an unseen context keeps
-    the shorter context's p. One pair of joins an order, unrolled when the plan is built."""
+    the shorter context's p. One pair of joins an order, unrolled when the plan is built. second: (tablet, i, p) by another
+    model, of which a share of alpha is mixed in at unseen contexts from `from_order` on. places: (tablet, i) to which to keep."""
     d = discounts(model)
     uni = model.where("n = 1").select("tok", F.col("f").alias("u"))
     size = uni.agg(F.sum("u").alias("un"), F.count("*").alias("uv"))
-    own = events(tokens, order).join(uni, "tok", "left").crossJoin(F.broadcast(size))
+    own = events(tokens, order)
+    if places is not None:
+        own = own.join(places, ["tablet", "i"], "left_semi")
+    if second is not None:
+        own = own.join(second.select("tablet", "i", F.col("p").alias("other")), ["tablet", "i"])
+    own = own.join(uni, "tok", "left").crossJoin(F.broadcast(size))
     own = own.withColumn("p", (double(F.coalesce("u", F.lit(0))) + 1) / (double("un") + F.col("uv")))
     for n in range(2, order + 1):
         grams = model.where(F.col("n") == n)
@@ -114,10 +120,73 @@ def interpolated(tokens: DataFrame, model: DataFrame, order: int) -> DataFrame:
         cut = F.when(F.col("f") == 1, F.col("d1")).when(F.col("f") == 2, F.col("d2")).otherwise(F.col("d3"))
         high = F.coalesce(F.greatest(F.lit(0.0), double("f") - cut), F.lit(0.0)) / F.col("t")
         weight = (F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("t")
-        own = own.withColumn("p", F.when(F.col("t").isNull(), F.col("p")).otherwise(high + weight * F.col("p"))).drop("ctx", "t", "k1", "k2", "k3", "f", "d1", "d2", "d3")
+        short = (1 - alpha) * F.col("p") + alpha * F.col("other") if second is not None and n >= from_order else F.col("p")
+        own = own.withColumn("p", F.when(F.col("t").isNull(), short).otherwise(high + weight * F.col("p"))).drop("ctx", "t", "k1", "k2", "k3", "f", "d1", "d2", "d3")
     return own.select("tablet", "i", "tok", "p", F.log2(F.greatest("p", F.lit(1e-300))).alias("lp"))
 
 
+def train_by_stratum(tokens: DataFrame, strata: list[str], orders: list[int]) -> dict[tuple[str, int], DataFrame]:
+    """A model for each stratum and order."""
+    return {(s, n): train(tokens.where(F.col("stratum") == s), n) for s in strata for n in orders}
+
+
+def _summed(tokens: DataFrame, models: dict[tuple[str, int], DataFrame], floor: float, places: dict[int, DataFrame] | None = None) -> DataFrame:
+    """tablet, lang, n (order), lp, grams, oov (grams of no probability, which count as the floor)."""
+    out = None
+    for (lang, n), model in models.items():
+        own = interpolated(tokens, model, n, places=places[n] if places else None)
+        lp = F.when(F.col("p") > 0, F.log2("p")).otherwise(floor)
+        own = own.groupBy("tablet").agg(F.sum(lp).alias("lp"), F.count("*").alias("grams"), F.count_if(F.col("p") <= 0).alias("oov")).select("tablet", F.lit(lang).alias("lang"), F.lit(n).alias("n"), "lp", "grams", "oov")
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("scores need a model")
+    return out
+
+
+def per_language(tokens: DataFrame, models: dict[tuple[str, int], DataFrame], strata: list[str], orders: list[int], floor: float = -20.0) -> DataFrame:
+    """The log2 probability of each tablet by language and order; where there is no model, the floor for each token."""
+    out = _summed(tokens, models, floor).select("tablet", "lang", "n", "lp")
+    sizes = tokens.groupBy("tablet").agg((floor * F.count("*")).alias("lp"))
+    for lang, n in ((s, n) for s in strata for n in orders if (s, n) not in models):
+        out = out.unionByName(sizes.select("tablet", F.lit(lang).alias("lang"), F.lit(n).alias("n"), "lp"))
+    return out
+
+
+def ensemble(tokens: DataFrame, models: dict[tuple[str, int], DataFrame], weights: dict[str, float], floor: float = -20.0) -> DataFrame:
+    """Of each tablet: the weighted mean over languages of the log2 probability by the highest order that has a model, the grams of
+    no probability, and the share of those that have one. Languages without a weight count for coverage only."""
+    top = {lang: max(n for x, n in models if x == lang) for lang, _ in models}
+    own = _summed(tokens, {(lang, n): models[lang, n] for lang, n in top.items()}, floor)
+    weight = F.lit(0.0)
+    for lang, w in weights.items():
+        weight = F.when(F.col("lang") == lang, w).otherwise(weight)
+    out = own.withColumn("w", weight).groupBy("tablet").agg(F.try_divide(F.sum(F.col("w") * F.col("lp")), F.sum("w")).alias("lp"), F.sum("oov").alias("oov"), F.sum("grams").alias("grams"))
+    return out.select("tablet", "lp", "oov", (1 - F.try_divide(double("oov"), double("grams"))).alias("coverage"))
+
+
+def mapped(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
+    """tokens with the symbol of each (symbols: tok, symbol), <UNK> where there is none."""
+    own = tokens.join(symbols.select("tok", "symbol"), "tok", "left")
+    return own.select(*[F.coalesce("symbol", F.lit("<UNK>")).alias("tok") if c == "tok" else c for c in tokens.columns])
+
+
+def score_delta(tokens: DataFrame, changes: DataFrame, models: dict[tuple[str, int], DataFrame], weights: dict[str, float], floor: float = -20.0) -> DataFrame:
+    """Of each tablet with changes (tablet, pos, new): how much its ensemble score changes. Grams that no change touches cancel out, so
+    only those from a changed place to order - 1 places on are scored, before and after."""
+    top = {lang: max(n for x, n in models if x == lang) for lang, _ in models}
+    own = {(lang, n): models[lang, n] for lang, n in top.items()}
+    places = {n: changes.select("tablet", F.explode(F.sequence(F.col("pos").cast("int"), F.col("pos").cast("int") + n - 1)).alias("i")).distinct() for n in set(top.values())}
+    touched = tokens.join(changes.select("tablet").distinct(), "tablet", "left_semi")
+    after = touched.join(changes.select("tablet", "pos", "new"), ["tablet", "pos"], "left")
+    after = after.select(*[F.coalesce("new", "tok").alias("tok") if c == "tok" else c for c in tokens.columns])
+    both = _summed(after, own, floor, places).unionByName(_summed(touched, own, floor, places).withColumn("lp", -F.col("lp")))
+    weight = F.lit(0.0)
+    for lang, w in weights.items():
+        weight = F.when(F.col("lang") == lang, w).otherwise(weight)
+    total = sum(weights.get(lang, 0.0) for lang in top)
+    return both.groupBy("tablet").agg((F.sum(weight * F.col("lp")) / total).alias("delta"))
+
+
 def out_of_vocabulary(tokens: DataFrame, model: DataFrame) -> DataFrame:
     """Per stratum: tokens, and how many the model has never seen (an anti join on the vocabulary)."""
     known = model.where("n = 1").select("tok").distinct()

@@ -249,3 +249,79 @@ def hash_sample_orders(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT stratum, round({h()}, 6) AS entropy FROM (SELECT stratum, tok, count(*) AS f FROM pb GROUP BY ALL) GROUP BY stratum", "pb")
 def brand_entropy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(info.unigram_stats(src.part_baskets(spark, d), "stratum").select("stratum", "entropy"))
+
+
+def _bigrams(x: str, source: str, where: str) -> str:
+    """SQL: a bigram model x of the places of `source` (c1, tok) that meet a condition."""
+    return f"""u{x} AS (SELECT tok, count(*)::DOUBLE AS f FROM {source} WHERE {where} GROUP BY 1), z{x} AS (SELECT sum(f) AS un, count(*) AS uv FROM u{x}), g{x} AS (SELECT c1, tok, count(*) AS f FROM {source} WHERE {where} GROUP BY ALL), s{x} AS (SELECT c1, {_KS} FROM g{x} GROUP BY c1),
+ n{x} AS (SELECT *, n1 / nullif(n1 + 2 * n2, 0)::DOUBLE AS y FROM (SELECT count(*) FILTER (WHERE f = 1) AS n1, count(*) FILTER (WHERE f = 2) AS n2, count(*) FILTER (WHERE f = 3) AS n3, count(*) FILTER (WHERE f = 4) AS n4 FROM g{x})), d{x} AS (SELECT {_cut(1)}, {_cut(2)}, {_cut(3)} FROM n{x})"""
+
+
+def _scored(x: str, source: str, unseen: str = "p1") -> str:
+    """SQL: the places of `source` with p under model x."""
+    p = "(coalesce(u.f, 0) + 1) / (un + uv)"
+    return f"SELECT e.*, {_fold('p1', 'g.f', 's', 'q').replace('THEN p1 ELSE', f'THEN {unseen} ELSE')} AS p FROM (SELECT e.*, {p} AS p1 FROM {source} e LEFT JOIN u{x} u ON u.tok = e.tok, z{x}) e LEFT JOIN s{x} s ON s.c1 = e.c1 LEFT JOIN g{x} g ON g.c1 = e.c1 AND g.tok = e.tok, d{x} q"
+
+
+def _places(table: str, name: str) -> str:
+    stops = f"SELECT tablet, any_value(stratum), max(pos) + 1, '</s>' FROM {table} GROUP BY tablet"
+    return f"{name} AS (SELECT tablet, stratum, pos AS i, tok, coalesce(lag(tok) OVER (PARTITION BY tablet ORDER BY pos), '<s>') AS c1 FROM (SELECT tablet, stratum, pos, tok FROM {table} UNION ALL {stops}))"
+
+
+_TWO = f"{_places('ue', 'bg')}, {_bigrams('a', 'bg', 'stratum = ' + repr('pre'))}, {_bigrams('b', 'bg', 'stratum = ' + repr('post'))}"
+_WEIGHTS = {"pre": 0.7, "post": 0.2}
+
+
+def _languages(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    t = src.user_events(spark, d)
+    return t, lm.train_by_stratum(t, ["pre", "post"], [2])
+
+
+@query(f"WITH {_TWO}, x AS (SELECT 'pre' AS lang, * FROM ({_scored('a', 'bg')}) UNION ALL SELECT 'post', * FROM ({_scored('b', 'bg')})) SELECT tablet, lang, 2::INT AS n, round(sum(log2(p)), 6) AS lp FROM x GROUP BY ALL UNION ALL SELECT tablet, 'none', 2, round(-20.0 * count(*), 6) FROM ue GROUP BY tablet", "ue")
+def lm_per_language(spark: SparkSession, d: str) -> DataFrame:
+    t, models = _languages(spark, d)
+    return rounded(lm.per_language(t, models, ["pre", "post", "none"], [2]))
+
+
+def _ensemble(places: str) -> str:
+    return f"x AS (SELECT 0.7 AS w, * FROM ({_scored('a', places)}) UNION ALL SELECT 0.2, * FROM ({_scored('b', places)})), y AS (SELECT tablet, w, sum(log2(p)) AS lp FROM x GROUP BY ALL), r AS (SELECT tablet, sum(w * lp) / sum(w) AS lp FROM y GROUP BY tablet)"
+
+
+@query(f"WITH {_TWO}, {_ensemble('bg')} SELECT tablet, round(lp, 6) AS lp, 0::BIGINT AS oov, 1.0::DOUBLE AS coverage FROM r", "ue")
+def lm_score(spark: SparkSession, d: str) -> DataFrame:
+    t, models = _languages(spark, d)
+    return rounded(lm.ensemble(t, models, _WEIGHTS))
+
+
+_MAP = "mp AS (SELECT tok, max(other) AS symbol FROM (SELECT a.tok, b.tok AS other FROM (SELECT DISTINCT tok FROM ue) a JOIN (SELECT DISTINCT tok FROM ue) b ON b.tok < a.tok) GROUP BY tok), mu AS (SELECT tablet, stratum, pos, coalesce(symbol, '<UNK>') AS tok FROM ue LEFT JOIN mp USING (tok))"
+
+
+@query(f"WITH {_MAP}, {_TWO}, {_places('mu', 'bm')}, {_ensemble('bm')} SELECT tablet, round(lp, 6) AS lp, 0::BIGINT AS oov, 1.0::DOUBLE AS coverage FROM r", "ue")
+def lm_score_with_map(spark: SparkSession, d: str) -> DataFrame:
+    t, models = _languages(spark, d)
+    types = t.select("tok").distinct()
+    symbols = types.join(types.select(F.col("tok").alias("other")), F.col("other") < F.col("tok")).groupBy("tok").agg(F.max("other").alias("symbol"))  # event types
+    return rounded(lm.ensemble(lm.mapped(t, symbols), models, _WEIGHTS))
+
+
+_CHANGED = "cu AS (SELECT tablet, stratum, pos, CASE WHEN pos % 10 = 3 THEN (SELECT min(tok) FROM ue) ELSE tok END AS tok FROM ue WHERE tablet IN (SELECT tablet FROM ue WHERE pos = 3))"
+
+
+@query(
+    f"WITH {_CHANGED}, {_TWO}, {_places('cu', 'bc')}, {_ensemble('bc')}, {_ensemble('bg').replace('x AS (', 'x0 AS (', 1).replace('y AS (', 'y0 AS (', 1).replace('FROM x GROUP', 'FROM x0 GROUP').replace('r AS (', 'r0 AS (', 1).replace('FROM y GROUP', 'FROM y0 GROUP')} SELECT tablet, round(r.lp - r0.lp, 6) AS delta FROM r JOIN r0 USING (tablet)",
+    "ue",
+)
+def lm_score_delta(spark: SparkSession, d: str) -> DataFrame:
+    t, models = _languages(spark, d)
+    first = t.agg(F.min("tok").alias("new"))
+    changes = t.where("pos % 10 = 3").select("tablet", "pos").crossJoin(F.broadcast(first))
+    return rounded(lm.score_delta(t, changes, models, _WEIGHTS)).select("tablet", (F.col("delta") + 0.0).alias("delta"))
+
+
+@query(f"WITH {_places('dw', 'bw')}, en AS (SELECT * FROM bw WHERE stratum = 'en'), {_bigrams('a', 'bw', 'stratum = ' + repr('fr'))}, {_bigrams('b', 'bw', 'stratum = ' + repr('en'))}, o AS ({_scored('b', 'en')}), o2 AS (SELECT tablet, stratum, i, tok, c1, p AS other FROM o), x AS ({_scored('a', 'o2', '0.85 * p1 + 0.15 * other')}) SELECT tablet, count(*) AS grams, round(sum(log2(p)), 4) AS lp FROM x GROUP BY tablet", "dw")
+def kn_backoff(spark: SparkSession, d: str) -> DataFrame:
+    t = src.doc_words(spark, d)
+    own = t.where("stratum = 'en'")
+    second = lm.interpolated(own, lm.train(own, 2), 2)
+    p = lm.interpolated(own, lm.train(t.where("stratum = 'fr'"), 2), 2, second, from_order=2)
+    return rounded(p.groupBy("tablet").agg(F.count("*").alias("grams"), F.sum("lp").alias("lp")), 4)

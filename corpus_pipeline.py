@@ -1,7 +1,13 @@
 """A corpus in five stages, each of which reads the whole output of the one before.
 
-Documents that score as toxic go; chunks of lines that occur elsewhere go; one document of each group of near duplicates
-stays; documents that hold a benchmark item go; what is left is encoded and decoded.
+Documents that score as toxic go; chunks of lines that occur elsewhere go, and documents of which nothing is left with them;
+one document of each group of near duplicates stays; documents that hold a benchmark item go; what is left is encoded and
+decoded.
+
+Defined cases: rows are judged by their own texts, with or without doc_id; null and empty texts pass all stages as they are;
+rows repeated whole stay together; an empty table gives an empty result, tables without labels or items reject nothing by
+them; other columns, whatever their names, pass the first four stages. Line dedup takes the lines of near copies too, so a
+near copy comes to the near-duplicate stage as what sets it apart.
 """
 
 from __future__ import annotations

@@ -42,13 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and is one process."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
         got = sc._jsc.sc().getCheckpointDir()
         if got.isDefined():
             base = got.get()
+        elif sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         else:
             base = tempfile.mkdtemp(prefix="seqloom-")
             sc.setCheckpointDir(base)

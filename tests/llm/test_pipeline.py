@@ -44,3 +44,27 @@ def test_stages(spark):
             assert docs.columns == names
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * sizes[0]
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "decontamination", "byte-level BPE"]
+
+
+@pytest.mark.parametrize("rows", [True, False])
+def test_run(spark, tmp_path, rows):
+    import random
+
+    rng = random.Random(18)
+    prose = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    lines = lambda k: "\n".join(prose(20) for _ in range(k))
+    texts = {k: prose(60) if k % 2 else lines(4) for k in range(40)}
+    bad = {k: f"{prose(20)} odiousness grimblefoul {prose(20)}" for k in range(100, 140)}
+    item, near = prose(30), prose(120)
+    texts |= bad | {200: texts[0], 201: texts[1], 202: f"{prose(30)} {item} {prose(10)}", 203: f"{texts[2]}\n{prose(25)}", 204: near, 205: f"{near} more words"}
+    own = [(k, t, "_x", 1) for k, t in texts.items()] + [(None, texts[4], "_x", 1), (None, None, "_x", 1), (300, "", "_x", 1), (5, texts[5], "_x", 1), (5, "another text of the same id", "_x", 1)]
+    docs = spark.createDataFrame(own if rows else [], "doc_id long, text string, _gone string, _version int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, int(k in bad)) for k in texts if k < 140], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (None, "no id"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    if not rows:
+        assert got == []
+        return
+    # Copies, the contaminated text, toxic ones and the near copy are gone; the text with a line of its own keeps that.
+    assert sorted(got, key=str) == sorted([k for k in range(40)] + [None, 5, 5, 203, 204, 300], key=str)

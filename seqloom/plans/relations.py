@@ -165,3 +165,53 @@ def window_sliding(spark: SparkSession, d: str) -> DataFrame:
 def window_sessions(spark: SparkSession, d: str) -> DataFrame:
     own = win.sessions(win.timed(read(spark, d, "events"), "ts"), "ts", "6 hours", "user_id")
     return own.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of files."""
+    return spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+
+
+@query("SELECT s AS start, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY s")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    own = win.drained(spark, win.sliding(win.timed(_events(spark, d), "ts"), "ts", "2 hours", "1 hour"))
+    return rounded(own.withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
+
+
+@query("WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events), y AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", user_id, count(*) AS n FROM y GROUP BY user_id, s")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    own = win.drained(spark, win.sessions(win.timed(_events(spark, d), "ts"), "ts", "6 hours", "user_id"))
+    return own.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
+
+
+@query(f"SELECT * FROM ({_HOUR}) WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)")
+def stream_append(spark: SparkSession, d: str) -> DataFrame:
+    """Append mode: the windows that the watermark, ten minutes behind the last event, has closed."""
+    own = win.drained(spark, win.tumbling(win.timed(_events(spark, d), "ts"), "ts", "1 hour", "event_type"), "append")
+    return rounded(own.withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
+
+
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY (o_orderdate::DATE - DATE '1990-01-01') RANGE BETWEEN 90 PRECEDING AND CURRENT ROW), 2) AS recent FROM orders")
+def window_range(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    day = F.datediff("o_orderdate", F.lit("1990-01-01").cast("date"))
+    own = Window.partitionBy("o_custkey").orderBy(day).rangeBetween(-90, 0)
+    return read(spark, d, "orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(own), 2).alias("recent"))
+
+
+@query("SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS level, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_levels(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def set_intersect_all(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersectAll(read(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def set_except(spark: SparkSession, d: str) -> DataFrame:
+    own = read(spark, d, "orders")
+    part = lambda s: own.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"))
+    return part("O").subtract(part("F"))

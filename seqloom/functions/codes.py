@@ -65,8 +65,25 @@ def implicit_group(code: Column) -> Column:
     return out.otherwise("compound_or_other")
 
 
-def is_glyph(code: Column) -> Column:
-    return F.coalesce(code.rlike("[0-9]"), F.lit(False))
+def is_glyph(code: Column, blocked: tuple[int, ...] = (0,)) -> Column:
+    """Whether the code begins with a number that isn't one of the blocked ones, which stand for no sign."""
+    n = F.regexp_extract(code, "^([0-9]+)", 1).try_cast("decimal(38,0)")
+    return F.coalesce(~n.isin(*blocked), F.lit(False)) if blocked else n.isNotNull()
+
+
+def in_ranges(code: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether the first three digits of the code make a number in one of the ranges."""
+    n = F.substring(F.regexp_replace(code, "[^0-9]", ""), 1, 3).try_cast("int")
+    found = F.lit(False)
+    for lo, hi in ranges:
+        found = found | n.between(lo, hi)
+    return F.coalesce(found, F.lit(False))
+
+
+def stratum(label: Column) -> Column:
+    """pre_contact or post_contact of a label in any letter case; undated for all others."""
+    own = F.lower(F.trim(label))
+    return F.when(own.isin("pre_contact", "pre"), "pre_contact").when(own.isin("post_contact", "late"), "post_contact").otherwise("undated")
 
 
 def canonical(allographs: Column, code: Column) -> Column:

@@ -47,6 +47,24 @@ def js_divergence(p: Column, q: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
+def dating_entropy(pre: Column, post: Column) -> Column:
+    """Bits of two probabilities; those not above 0 or null add nothing."""
+    own = lambda p: F.when(p > 0, -p * F.log2(p)).otherwise(F.lit(0.0))
+    return own(pre) + own(post)
+
+
+def token_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two arrays of tokens over the longer one's length, 0 for two empty ones; arrays are short."""
+    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: j)
+
+    def row(before: Column, x: Column) -> Column:
+        start = F.array(F.element_at(before, 1) + 1)
+        return F.aggregate(F.sequence(F.lit(1), F.size(b)), start, lambda out, j: F.array_append(out, F.least(F.element_at(out, -1) + 1, F.element_at(before, j + 1) + 1, F.element_at(before, j) + F.when(F.element_at(b, j) == x, 0).otherwise(1))))
+
+    last = F.when(F.size(b) == 0, F.array(F.size(a))).otherwise(F.aggregate(a, first, row))
+    return double(F.element_at(last, -1)) / F.greatest(F.size(a), F.size(b), F.lit(1))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

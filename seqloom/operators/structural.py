@@ -31,6 +31,22 @@ def slots(tokens: DataFrame) -> DataFrame:
     return d.join(heads, ["tablet", "tok"])
 
 
+def candidates(tokens: DataFrame, least: int, share: float) -> DataFrame:
+    """tablet, tok, m of tokens that occur `least` times on a tablet or more and make up a share of its tokens."""
+    c = tokens.groupBy("tablet", "tok").agg(F.count("*").alias("m"))
+    n = c.groupBy("tablet").agg(F.sum("m").alias("n"))
+    return c.join(n, "tablet").where((F.col("m") >= least) & (F.col("m") >= share * F.col("n"))).select("tablet", "tok", "m")
+
+
+def section_coherence(tokens: DataFrame, periods: list[int], least: int, share: float, slots_least: int, distinct: float) -> DataFrame:
+    """Per tablet the largest phase coherence of its candidates that have `slots_least` slots or more, a share of `distinct` of them
+    different ones; tablets without one don't appear."""
+    own = candidates(tokens, least, share).select("tablet", "tok")
+    gated = slots(tokens).where((F.col("slots") >= slots_least) & (F.col("distinctness") >= distinct)).select("tablet", "tok")
+    found = phase_coherence(tokens, periods, 1).join(own, ["tablet", "tok"], "left_semi").join(gated, ["tablet", "tok"], "left_semi")
+    return found.groupBy("tablet").agg(F.max("coherence").alias("coherence"))
+
+
 def _arms(tokens: list) -> list[tuple[int, int]]:
     """(l + r, arm) of every place and gap of the tokens with a matching pair around it, by Manacher's algorithm."""
     out, n = [], len(tokens)

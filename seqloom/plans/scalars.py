@@ -163,3 +163,33 @@ def catalog_lookup(spark: SparkSession, d: str) -> DataFrame:
     variants = part.where("p_partkey % 3 = 0").select(no.cast("string").alias("code"), (F.floor(no / 10) * 10).cast("string").alias("canonical")).distinct()
     code = F.when(F.col("p_partkey") % 3 == 0, F.lpad(no.cast("string"), 3, "0")).when(F.col("p_partkey") % 3 == 1, no.cast("string")).otherwise(F.concat(no.cast("string"), F.lit("a")))
     return co.catalogued(part.select("p_partkey", code.alias("code")), signs, variants).select("p_partkey", "known", "family", "canonical", "taxogram", F.array_join("variants", " ").alias("variants"))
+
+
+@query(
+    f"""WITH c AS (SELECT p_partkey, {_CODE} AS code FROM part), n AS (SELECT *, try_cast(regexp_replace(split_part(code, '.', 1), '[^0-9]', '', 'g') AS INT) AS base, try_cast(left(regexp_replace(code, '[^0-9]', '', 'g'), 3) AS INT) AS three FROM c)
+ SELECT p_partkey, coalesce(try_cast(regexp_extract(code, '^([0-9]+)', 1) AS BIGINT) <> 0, false) AS glyph, coalesce(base BETWEEN 600 AND 699, false) AS bird_headed, coalesce(three BETWEEN 600 AND 799, false) AS iconographic FROM n"""
+)
+def code_checks(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("code")
+    bird = F.coalesce(co.base_number(c).between(600, 699), F.lit(False))
+    return _codes(spark, d).select("p_partkey", co.is_glyph(c).alias("glyph"), bird.alias("bird_headed"), co.in_ranges(c, [(600, 699), (700, 799)]).alias("iconographic"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'pre_contact' WHEN 1 THEN 'post_contact' WHEN 2 THEN 'pre_contact' ELSE 'undated' END AS stratum, round(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END + CASE WHEN p < 1 THEN -(1 - p) * log2(1 - p) ELSE 0 END, 6) AS entropy FROM (SELECT o_orderkey, (o_orderkey % 11) / 10.0::DOUBLE AS p FROM orders)")
+def strata_and_entropy(spark: SparkSession, d: str) -> DataFrame:
+    from seqloom.functions import stats
+
+    label = F.element_at(F.array(*[F.lit(x) for x in (" PRE", "Late ", "pre_contact", "early", "other")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    p = (F.col("o_orderkey") % 11) / F.lit(10.0)
+    return src.read(spark, d, "orders").select("o_orderkey", co.stratum(label).alias("stratum"), F.round(stats.dating_entropy(p, 1 - p), 6).alias("entropy"))
+
+
+@query("SELECT p_partkey, round(levenshtein(a, b) / greatest(length(a), length(b), 1)::DOUBLE, 6) AS distance FROM (SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z]', '', 'g')[1:8] AS a, regexp_replace(lower(p_name), '[^a-z]', '', 'g')[1:p_partkey % 9] AS b FROM part)")
+def token_distances(spark: SparkSession, d: str) -> DataFrame:
+    from seqloom.functions import stats
+
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
+    split = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    a, b = split(F.substring(bare("p_type"), 1, 8)), split(F.substring(bare("p_name"), F.lit(1), (F.col("p_partkey") % 9).cast("int")))
+    own = src.read(spark, d, "part").select("p_partkey", a.alias("a"), b.alias("b"))
+    return own.select("p_partkey", F.round(stats.token_distance(F.col("a"), F.col("b")), 6).alias("distance"))

@@ -9,7 +9,7 @@ from seqloom.functions.stats import rounded
 from seqloom.operators import graph as gr
 from seqloom.operators import ngrams as ng
 from seqloom.operators import structural as st
-from seqloom.plans.registry import h, query
+from seqloom.plans.registry import ORACLES, h, query
 from seqloom.sources import adapters as src
 
 
@@ -33,6 +33,14 @@ def slot_statistics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(st.slots(src.user_events(spark, d)))
 
 
+_PHASE = ORACLES["phase_coherence"].replace("count(*) >= 5", "count(*) >= 1")
+
+
+@query(f"WITH cc AS (SELECT tablet, tok, count(*) AS m, sum(count(*)) OVER (PARTITION BY tablet) AS n FROM ue GROUP BY tablet, tok) SELECT p.tablet, max(p.coherence) AS coherence FROM ({_PHASE}) p JOIN ({ORACLES['slot_statistics']}) s ON s.tablet = p.tablet AND s.tok = p.tok JOIN cc ON cc.tablet = p.tablet AND cc.tok = p.tok WHERE cc.m >= 3 AND cc.m >= 0.1 * cc.n AND s.slots >= 2 AND s.distinctness >= 0.5 GROUP BY p.tablet", "ue")
+def section_coherence(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(st.section_coherence(src.user_events(spark, d), [2, 3, 4, 5, 7], 3, 0.1, 2, 0.5))
+
+
 _ARMS = """b AS (SELECT l.tablet, l.pos + r.pos AS centre, (r.pos - l.pos + 1) // 2 AS s, l.tok AS tok, l.tok = r.tok AS same FROM ue l JOIN ue r ON l.tablet = r.tablet AND r.pos > l.pos),
  k AS (SELECT *, sum((NOT same)::INT) OVER (PARTITION BY tablet, centre ORDER BY s) AS bad FROM b)"""
 

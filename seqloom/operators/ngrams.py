@@ -15,8 +15,15 @@ def order() -> WindowSpec:
 
 def with_next(tokens: DataFrame, span: str = "tablet") -> DataFrame:
     """Adds nxt, the token that follows within the tablet (or, with span='stratum', in the stratum's tablets end to end)."""
-    w = order() if span == "tablet" else Window.partitionBy("stratum").orderBy("tablet", "pos")
-    return tokens.withColumn("nxt", F.lead("tok").over(w))
+    if span == "tablet":
+        return tokens.withColumn("nxt", F.lead("tok").over(order()))
+    # Within tablets in parallel; across them with one row a tablet, which brings the first token of the next one.
+    w = Window.partitionBy("stratum", "tablet").orderBy("pos")
+    heads = tokens.groupBy("stratum", "tablet").agg(F.min_by("tok", "pos").alias("head"))
+    heads = heads.select("stratum", "tablet", F.lead("head").over(Window.partitionBy("stratum").orderBy("tablet")).alias("next_head"))
+    own = tokens.withColumn("nxt", F.lead("tok").over(w)).withColumn("is_last", F.lead("pos").over(w).isNull())
+    own = own.join(heads, ["stratum", "tablet"]).withColumn("nxt", F.when(F.col("is_last"), F.col("next_head")).otherwise(F.col("nxt")))
+    return own.select(*tokens.columns, "nxt")
 
 
 def bigrams(tokens: DataFrame, *by: str, span: str = "tablet") -> DataFrame:

@@ -199,3 +199,65 @@ def test_binomial_interval():
     assert lo == 0 and abs(hi - (1 - 0.025 ** (1 / 10))) < 1e-9
     lo, hi = se.binomial_interval(5, 10)
     assert abs(lo + hi - 1) < 1e-9 and 0.18 < lo < 0.19
+
+
+def test_path_centrality_matches_brute_force(spark):
+    import random
+    from itertools import permutations
+
+    from seqloom.operators import graph
+
+    rng, edges, want = random.Random(4), [], {}
+    for grp in ("g0", "g1", "g2", "g3"):
+        n = rng.randint(3, 7)
+        own = {(a, b): float(rng.choice([1, 2, 4])) for a in range(n) for b in range(n) if a != b and rng.random() < 0.45}
+        own |= {(0, 1): 1.0}
+        names = sorted({x for e in own for x in e})
+        edges += [(grp, str(a), str(b), w) for (a, b), w in own.items()]
+        # All simple paths from s to t, by length.
+        best = {}
+        for size in range(2, len(names) + 1):
+            for p in permutations(names, size):
+                steps = list(zip(p, p[1:], strict=False))
+                if all(e in own for e in steps):
+                    best.setdefault((p[0], p[-1]), []).append((sum(own[e] for e in steps), sum(1 / own[e] for e in steps), p))
+        scale = (len(names) - 1) * (len(names) - 2) if len(names) > 2 else 1
+        for v in names:
+            between = 0.0
+            for (s, t), found in best.items():
+                short = [p for d, _, p in found if d == min(x[0] for x in found)]
+                between += sum(v in p[1:-1] for p in short) / len(short) if v not in (s, t) else 0
+            into = [min(x[1] for x in best[s, v]) for s in names if (s, v) in best]
+            want[grp, str(v)] = (between / scale, len(into) / sum(into) * len(into) / (len(names) - 1) if into else 0.0)
+    got = {(r.grp, r.node): (r.betweenness, r.closeness) for r in graph.paths(spark.createDataFrame(edges, "grp string, src string, dst string, weight double")).collect()}
+    assert set(got) == set(want)
+    for k, (between, close) in want.items():
+        assert abs(got[k][0] - between) < 1e-9 and abs(got[k][1] - close) < 1e-9, k
+
+
+def test_boxes_match_brute_force(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from seqloom.operators import features
+
+    rng, rows, want = random.Random(5), [], {}
+    for grp in range(6):
+        boxes = []
+        for k in range(rng.randint(1, 14)):
+            x, y = rng.randrange(12), rng.randrange(12)
+            boxes.append((grp, k, x, y, x + rng.randint(1, 8), y + rng.randint(1, 8)))
+        rows += boxes
+        cells = {b[1]: {(i, j) for i in range(b[2], b[4]) for j in range(b[3], b[5])} for b in boxes}
+        kept = []
+        for k in sorted(cells, key=lambda k: (-len(cells[k]), k)):
+            if all(len(cells[k] & cells[q]) <= 0.3 * len(cells[k] | cells[q]) for q in kept):
+                kept.append(k)
+        want |= {(grp, k): cells[k] for k in kept}
+    boxes = spark.createDataFrame([(g, k, *map(float, b)) for g, k, *b in rows], "grp long, box long, x0 double, y0 double, x1 double, y1 double")
+    assert {(r.grp, r.box) for r in features.non_maximum(boxes).collect()} == set(want)
+    pairs = boxes.select("grp", F.struct("box", "x0", "y0", "x1", "y1").alias("a")).join(boxes.select("grp", F.struct("box", "x0", "y0", "x1", "y1").alias("b")), "grp")
+    area = lambda r: {(i, j) for i in range(int(r.x0), int(r.x1)) for j in range(int(r.y0), int(r.y1))}
+    for r in pairs.select("a", "b", features.iou(F.col("a"), F.col("b")).alias("v")).collect():
+        assert abs(r.v - len(area(r.a) & area(r.b)) / len(area(r.a) | area(r.b))) < 1e-9

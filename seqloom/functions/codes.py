@@ -46,6 +46,11 @@ def strip_zeros(code: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(code)), r"(?<![0-9])0+(?=[0-9])", "")
 
 
+def canonical_base(code: Column) -> Column:
+    """The leading number of a code in three digits; null for compounds, ranges and codes without a number."""
+    return F.when(~code.rlike("[-.:;(]"), F.lpad(F.nullif(F.regexp_extract(code, "^([0-9]{1,3})", 1), F.lit("")), 3, "0"))
+
+
 def kind(code: Column) -> Column:
     """ligature, multi_sign, range_notation (a range in brackets or at the start), compound; simple without any separator."""
     span = r"\(.*-.*\)|^[0-9]+-[0-9]+"

@@ -80,3 +80,21 @@ def set_overlap(contrasts: DataFrame) -> DataFrame:
     a, b = sets.select(F.col("scenario").alias("a"), F.col("s").alias("x")), sets.select(F.col("scenario").alias("b"), F.col("s").alias("y"))
     both, all_ = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", both.alias("core"), all_.alias("any"), F.coalesce(F.try_divide(double(both), double(all_)), F.lit(1.0)).alias("jaccard"))
+
+
+def line_scenarios(lines: DataFrame, unknown: Column) -> DataFrame:
+    """The lines of tablets (tablet, line, parity, stratum, ...) under the reassignments, at line grain: unknown tablets all late; every second
+    one early; the first fifth of each one's lines early, one at least."""
+    own = lines.withColumn("unknown", unknown)
+    tablets = own.where("unknown").select("tablet").distinct().withColumn("__n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("tablet")))
+    w = Window.partitionBy("tablet")
+    own = own.join(tablets, "tablet", "left").withColumn("__k", F.dense_rank().over(w.orderBy("line")))
+    own = own.withColumn("__early", F.greatest(F.lit(1), F.bround(0.2 * F.max("__k").over(w))))
+    pick = {
+        "all_late": F.lit("post"),
+        "alternate": F.when(F.col("__n") % 2 == 1, "pre").otherwise("post"),
+        "first_fifth": F.when(F.col("__k") <= F.col("__early"), "pre").otherwise("post"),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), F.when(F.col("unknown"), pick[s]).otherwise(F.col("stratum")).alias("stratum")) for s in SCENARIOS]))
+    rest = [c for c in lines.columns if c != "stratum"]
+    return own.select(*rest, each.alias("s")).select(*rest, "s.scenario", "s.stratum")

@@ -171,3 +171,64 @@ def binomial_interval(k: int, n: int, alpha: float = 0.05) -> tuple[float, float
         return (lo + hi) / 2
 
     return (0.0 if k == 0 else solve(tail, True)), (1.0 if k == n else solve(upper, False))
+
+
+def ising_model(terms: DataFrame) -> DataFrame:
+    """kind (field, coupling, offset), i, j, value of x = (1 - z) / 2 from quadratic terms; one offset, 0 without terms."""
+    none = F.lit(None).cast("string")
+    fields = ising(terms).select(F.lit("field").alias("kind"), "i", none.alias("j"), F.col("h").alias("value"))
+    couplings = terms.where("i <> j").groupBy("i", "j").agg(F.sum(F.col("q") / 4).alias("value")).select(F.lit("coupling").alias("kind"), "i", "j", "value")
+    offset = terms.agg(F.coalesce(F.sum(F.col("q") / F.when(F.col("i") == F.col("j"), 2).otherwise(4)), F.lit(0.0)).alias("value"))
+    return fields.unionByName(couplings).unionByName(offset.select(F.lit("offset").alias("kind"), none.alias("i"), none.alias("j"), "value"))
+
+
+def chosen(sample: DataFrame) -> DataFrame:
+    """sign, value: of each sign the first value that is on, else the first of all. sample: sign, k (order of the value), value, x (0 or 1)."""
+    first = F.min_by("value", F.struct((F.col("x") != 1).cast("int"), "k"))
+    return sample.groupBy("sign").agg(first.alias("value"))
+
+
+def choice_confidence(sample: DataFrame, reads: DataFrame) -> DataFrame:
+    """sign, value, confidence: the share of reads, by their occurrences, in which the value chosen from the best sample is on; 1 without
+    reads. reads: read, occurrences, sign, value, x."""
+    total = reads.select("read", "occurrences").distinct().agg(F.sum("occurrences").alias("total"))
+    own = chosen(sample)
+    on = reads.where("x = 1").groupBy("sign", "value").agg(F.sum("occurrences").alias("on"))
+    share = F.when(F.coalesce("total", F.lit(0)) == 0, 1.0).otherwise(double(F.coalesce("on", F.lit(0))) / F.col("total"))
+    return own.join(on, ["sign", "value"], "left").crossJoin(F.broadcast(total)).select("sign", "value", share.alias("confidence"))
+
+
+def priorities(tokens: DataFrame, weight: float = 1.0) -> DataFrame:
+    """tok, priority: weight of information (ic) times 1 + weight (1 - entropy of place over the largest); tokens without an entropy
+    count as the largest. tokens: tok, ic, place_h."""
+    top = tokens.agg(F.greatest(F.coalesce(F.max("place_h"), F.lit(0.0)), F.lit(1e-9)).alias("top"))
+    free = F.coalesce("place_h", "top") / F.col("top")
+    return tokens.crossJoin(F.broadcast(top)).select("tok", (F.coalesce("ic", F.lit(0.0)) * (1 + weight * (1 - free))).alias("priority"))
+
+
+def typed(rows: DataFrame, threshold: float) -> DataFrame:
+    """tok, type: phonogram in the cluster of the larger mean frequency (the first of equal ones), logogram in the other, unresolved where
+    neither posterior reaches the threshold. rows: tok, frequency, p0, p1."""
+    hard = (F.col("p1") > F.col("p0")).cast("int")
+    mean = lambda k: F.coalesce(F.avg(F.when(hard == k, F.col("frequency"))), F.lit(0.0))
+    phonograms = rows.agg((mean(1) > mean(0)).cast("int").alias("cluster"))
+    kind = F.when(F.greatest("p0", "p1") < threshold, "unresolved").when(hard == F.col("cluster"), "phonogram").otherwise("logogram")
+    return rows.crossJoin(F.broadcast(phonograms)).select("tok", kind.alias("type"))
+
+
+def threshold_sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
+    """By threshold: tokens of each type, and the share of those that are resolved there and under the first threshold that agree."""
+    base = typed(rows, thresholds[0]).where("type <> 'unresolved'").select("tok", F.col("type").alias("base"))
+    out = None
+    for t in thresholds:
+        own = typed(rows, t).join(base, "tok", "left")
+        same = F.when(F.col("base").isNotNull() & (F.col("type") != "unresolved"), (F.col("type") == F.col("base")).cast("double"))
+        own = own.agg(*[F.count_if(F.col("type") == k).alias(f"n_{k}") for k in ("phonogram", "logogram", "unresolved")], F.coalesce(F.avg(same), F.lit(1.0)).alias("agreement"))
+        own = own.select(F.lit(t).alias("threshold"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def robust_weight(weights: DataFrame) -> DataFrame:
+    """expected: the sum of weights where the change holds. weights: weight, holds."""
+    return weights.agg(F.coalesce(F.sum(F.when(F.col("holds"), F.col("weight"))), F.lit(0.0)).alias("expected"))

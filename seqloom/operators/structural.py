@@ -137,3 +137,9 @@ def assignment_weights(spark: SparkSession, priors: list[float]) -> DataFrame:
         p = p * F.when(F.shiftright("id", k).bitwiseAND(F.lit(1)) == 1, x).otherwise(1 - x)
     own = spark.range(1 << len(priors)).withColumn("p", p)
     return own.crossJoin(F.broadcast(own.agg(F.sum("p").alias("all")))).select(F.col("id").alias("assignment"), (F.col("p") / F.col("all")).alias("weight"))
+
+
+def best_affine(spectrum: DataFrame, bits: int) -> DataFrame:
+    """s, w, constant, agreement: the slope of the largest |w|, the smallest of equal ones, with 1 added where w is negative."""
+    top = spectrum.agg(F.min_by(F.struct("s", "w"), F.struct(-F.abs("w"), "s")).alias("b")).select("b.s", "b.w")
+    return agreement(top, bits).select("s", "w", (F.col("w") < 0).cast("int").alias("constant"), "agreement")

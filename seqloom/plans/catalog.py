@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.plans import contrasts, features, models, parallels, profiles, registry, relations, scalars, statistics, structures  # noqa: F401
+from seqloom.plans import choices, contrasts, features, models, parallels, profiles, registry, relations, scalars, statistics, structures  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,14 +10,12 @@ from seqloom.operators import profiles as pr
 from seqloom.plans.registry import h, query
 from seqloom.sources import adapters as src
 
-# Part types by order and side; by brand where models are compared.
-_SD = "sd AS (SELECT tablet, stratum, p_type AS tok, pos, CASE WHEN pos < 3 THEN 'a' ELSE 'b' END AS side FROM pb)"
-_SB = _SD.replace("p_type AS tok", "tok").replace("sd AS", "sb AS")
+_SD = "sd AS (SELECT tablet, stratum, tok, pos, CASE WHEN pos < 3 THEN 'a' ELSE 'b' END AS side FROM pb)"
 
 
-def _sided(spark: SparkSession, d: str, tok: str = "p_type") -> DataFrame:
+def _sided(spark: SparkSession, d: str) -> DataFrame:
     own = src.part_baskets(spark, d)
-    return own.select("tablet", "stratum", F.col(tok).alias("tok"), "pos", F.when(F.col("pos") < 3, "a").otherwise("b").alias("side"), (F.col("pos") == 0).alias("boundary"))
+    return own.select("tablet", "stratum", "tok", "pos", F.when(F.col("pos") < 3, "a").otherwise("b").alias("side"), (F.col("pos") == 0).alias("boundary"))
 
 
 def _finger(t: str, p: str = "") -> str:
@@ -111,19 +109,19 @@ def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
 _EDGE = """eg AS (SELECT tok, avg((i < greatest(1, floor(n * 0.15::DOUBLE)) OR i >= n - floor(n * 0.15::DOUBLE))::INT::DOUBLE) AS edge_fraction, count(*) AS n FROM (SELECT tok, row_number() OVER (PARTITION BY tablet, side ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY tablet, side) AS n FROM {t}) GROUP BY tok)"""
 
 
-@query(f"WITH {_SB}, {_EDGE.format(t='sb')} SELECT tok, n, round(edge_fraction, 6) AS edge_fraction FROM eg", "pb")
+@query(f"WITH {_SD}, {_EDGE.format(t='sd')} SELECT tok, n, round(edge_fraction, 6) AS edge_fraction FROM eg", "pb")
 def line_edges(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pr.edge_share(_sided(spark, d, "tok"), "tablet", "side"))
+    return rounded(pr.edge_share(_sided(spark, d), "tablet", "side"))
 
 
-_MARKS = ("STANDARD ANODIZED TIN", "ECONOMY BRUSHED STEEL")
+_MARKS = ("Brand#1", "Brand#2")
 _NEAR = "greatest(coalesce(max((tok = '{m}')::INT) OVER (PARTITION BY tablet ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 0), coalesce(max((tok = '{m}')::INT) OVER (PARTITION BY tablet ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING), 0))"
 
 
 @query(
     f"""WITH {_SD}, {_EDGE.format(t='sd')}, ca AS (SELECT tok, count(*) AS f, count(*) FILTER (WHERE stratum = 'pre') AS a FROM sd GROUP BY tok), sz AS (SELECT sum(a) AS na, sum(f) AS nf FROM ca),
  sp AS (SELECT tok, f, round(1000 * (a / greatest(na, 1)::DOUBLE) / greatest(1000 * ((f - a) / greatest(nf - na, 1)::DOUBLE), 0.001), 3) AS specificity FROM ca, sz WHERE f >= 3),
- ky AS (SELECT DISTINCT tok FROM sd JOIN orders ON o_orderkey = tablet WHERE o_totalprice > 400000), co AS (SELECT tok, greatest(avg(x::DOUBLE), avg(y::DOUBLE)) AS company FROM (SELECT tok, {_NEAR.format(m=_MARKS[0])} AS x, {_NEAR.format(m=_MARKS[1])} AS y FROM sd) GROUP BY tok),
+ ky AS (SELECT DISTINCT tok FROM sd JOIN orders ON o_orderkey = tablet WHERE o_totalprice > 499900), co AS (SELECT tok, greatest(avg(x::DOUBLE), avg(y::DOUBLE)) AS company FROM (SELECT tok, {_NEAR.format(m=_MARKS[0])} AS x, {_NEAR.format(m=_MARKS[1])} AS y FROM sd) GROUP BY tok),
  sc AS (SELECT sp.tok, f AS n, specificity, ky.tok IS NOT NULL AS in_key, round(edge_fraction, 4) AS edge_fraction, company FROM sp JOIN eg USING (tok) JOIN co USING (tok) LEFT JOIN ky USING (tok)),
  cf AS (SELECT *, round(0.3::DOUBLE * least(specificity / 5, 1) + 0.3::DOUBLE * in_key::INT + 0.2::DOUBLE * edge_fraction + 0.2::DOUBLE * company, 4) AS confidence FROM sc)
  SELECT tok, n, round(specificity, 6) AS specificity, in_key, round(edge_fraction, 6) AS edge_fraction, round(company, 6) AS company, confidence, CASE WHEN confidence >= 0.55 THEN 'strong' WHEN confidence >= 0.4 THEN 'moderate' ELSE 'weak' END AS verdict FROM cf""",
@@ -131,13 +129,13 @@ _NEAR = "greatest(coalesce(max((tok = '{m}')::INT) OVER (PARTITION BY tablet ORD
 )
 def logogram_candidates(spark: SparkSession, d: str) -> DataFrame:
     own = _sided(spark, d)
-    orders = src.read(spark, d, "orders").select(F.col("o_orderkey").alias("tablet"), (F.col("o_totalprice") > 400000).alias("key"))
+    orders = src.read(spark, d, "orders").select(F.col("o_orderkey").alias("tablet"), (F.col("o_totalprice") > 499900).alias("key"))
     passages = own.join(orders.where("key"), "tablet").groupBy("tablet").agg(F.collect_list("tok").alias("canonical")).withColumn("key", F.lit(True))
     return rounded(pr.logograms(own, F.col("stratum") == "pre", ["tablet", "side"], list(_MARKS), passages))
 
 
 # The tables with side b first, and of passages between sides.
-_BA = "ba AS (SELECT tablet, side, tok, row_number() OVER (PARTITION BY tablet ORDER BY (side <> 'b')::INT, side, pos) - 1 AS pos FROM sb)"
+_BA = "ba AS (SELECT tablet, side, tok, row_number() OVER (PARTITION BY tablet ORDER BY (side <> 'b')::INT, side, pos) - 1 AS pos FROM sd)"
 _CROSS = """{p}y AS (SELECT tablet, tok, side, lead(tok) OVER w AS nxt, lead(side) OVER w AS nside FROM {t} WINDOW w AS (PARTITION BY tablet ORDER BY pos)),
  {p} AS (SELECT tablet, 0 AS pos, tok FROM {p}y WHERE nside <> side UNION ALL SELECT tablet, 1, nxt FROM {p}y WHERE nside <> side)"""
 
@@ -154,35 +152,35 @@ _POOL = "pow(2, sum(n * log2(ppl)) / sum(n))"
 _WIN = "CASE WHEN round(ppl_ab, 9) < round(ppl_ba, 9) THEN 'ab' ELSE 'ba' END"
 
 
-@query(f"WITH {_SB}, {_BA}, {_loo('p', 'sb')}, {_loo('q', 'ba')}, j AS (SELECT tablet, p.n, p.ppl AS ppl_ab, q.ppl AS ppl_ba FROM p JOIN q USING (tablet)) SELECT tablet, n, round(ppl_ab, 6) AS ppl_ab, round(ppl_ba, 6) AS ppl_ba, {_WIN} AS winner, round(abs(ppl_ab - ppl_ba), 6) AS margin FROM j", "pb")
+@query(f"WITH {_SD}, {_BA}, {_loo('p', 'sd')}, {_loo('q', 'ba')}, j AS (SELECT tablet, p.n, p.ppl AS ppl_ab, q.ppl AS ppl_ba FROM p JOIN q USING (tablet)) SELECT tablet, n, round(ppl_ab, 6) AS ppl_ab, round(ppl_ba, 6) AS ppl_ba, {_WIN} AS winner, round(abs(ppl_ab - ppl_ba), 6) AS margin FROM j", "pb")
 def side_order_by_tablet(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pr.side_order(_sided(spark, d, "tok")))
+    return rounded(pr.side_order(_sided(spark, d)))
 
 
 @query(
-    f"""WITH {_SB}, {_BA}, {_loo('p', 'sb')}, {_loo('q', 'ba')}, {_loo('r', 'sb', 3)}, {_loo('s', 'ba', 3)}, j AS (SELECT 2 AS n, (SELECT {_POOL} FROM p) AS ppl_ab, (SELECT {_POOL} FROM q) AS ppl_ba UNION ALL SELECT 3, (SELECT {_POOL} FROM r), (SELECT {_POOL} FROM s))
+    f"""WITH {_SD}, {_BA}, {_loo('p', 'sd')}, {_loo('q', 'ba')}, {_loo('r', 'sd', 3)}, {_loo('s', 'ba', 3)}, j AS (SELECT 2 AS n, (SELECT {_POOL} FROM p) AS ppl_ab, (SELECT {_POOL} FROM q) AS ppl_ba UNION ALL SELECT 3, (SELECT {_POOL} FROM r), (SELECT {_POOL} FROM s))
  SELECT n, round(ppl_ab, 6) AS ppl_ab, round(ppl_ba, 6) AS ppl_ba, {_WIN} AS prefers FROM j""",
     "pb",
 )
 def side_order_votes(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pr.side_votes(_sided(spark, d, "tok")))
+    return rounded(pr.side_votes(_sided(spark, d)))
 
 
 @query(
-    f"""WITH {_SB}, {_BA}, {_CROSS.format(p='xa', t='sb')}, {_CROSS.format(p='xb', t='ba')}, {_loo('p', 'xa')}, {_loo('q', 'xb')}, j AS (SELECT (SELECT count(*) FROM p) AS n, (SELECT {_POOL} FROM p) AS ppl_ab, (SELECT {_POOL} FROM q) AS ppl_ba)
+    f"""WITH {_SD}, {_BA}, {_CROSS.format(p='xa', t='sd')}, {_CROSS.format(p='xb', t='ba')}, {_loo('p', 'xa')}, {_loo('q', 'xb')}, j AS (SELECT (SELECT count(*) FROM p) AS n, (SELECT {_POOL} FROM p) AS ppl_ab, (SELECT {_POOL} FROM q) AS ppl_ba)
  SELECT n, round(ppl_ab, 6) AS ppl_ab, round(ppl_ba, 6) AS ppl_ba, {_WIN} AS prefers, CASE WHEN abs(ppl_ab - ppl_ba) > 1 THEN 'strong' WHEN abs(ppl_ab - ppl_ba) > 0.1 THEN 'moderate' ELSE 'weak' END AS strength FROM j WHERE n >= 10""",
     "pb",
 )
 def side_order_crossings(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pr.crossing_order(_sided(spark, d, "tok")))
+    return rounded(pr.crossing_order(_sided(spark, d)))
 
 
 @query(
-    f"""WITH {_SB}, c AS (SELECT tablet, side, tok, count(*) AS f FROM sb GROUP BY ALL), bo AS (SELECT tablet FROM c GROUP BY tablet HAVING count(DISTINCT side) = 2), a AS (SELECT tablet, tok AS x, f AS fa FROM c JOIN bo USING (tablet) WHERE side = 'a'), b AS (SELECT tablet, tok AS y, f AS fb FROM c JOIN bo USING (tablet) WHERE side = 'b'),
+    f"""WITH {_SD}, c AS (SELECT tablet, side, tok, count(*) AS f FROM sd GROUP BY ALL), bo AS (SELECT tablet FROM c GROUP BY tablet HAVING count(DISTINCT side) = 2), a AS (SELECT tablet, tok AS x, f AS fa FROM c JOIN bo USING (tablet) WHERE side = 'a'), b AS (SELECT tablet, tok AS y, f AS fb FROM c JOIN bo USING (tablet) WHERE side = 'b'),
  jo AS (SELECT x, y, sum(fa * fb)::DOUBLE AS f FROM a JOIN b USING (tablet) GROUP BY ALL), pa AS (SELECT x, sum(fa) AS f FROM a GROUP BY x), pb2 AS (SELECT y, sum(fb) AS f FROM b GROUP BY y), ha AS (SELECT {h()} AS h_a, sum(f)::DOUBLE AS na FROM pa), hb AS (SELECT {h()} AS h_b, sum(f)::DOUBLE AS nb FROM pb2), nj AS (SELECT sum(f) AS nf FROM jo),
  m AS (SELECT h_a, h_b, sum(jo.f / nf * log2(jo.f / nf / (pa.f / na * (pb2.f / nb)))) AS mi FROM jo JOIN pa USING (x) JOIN pb2 USING (y), ha, hb, nj GROUP BY ALL)
  SELECT round(mi, 6) AS mi, round(h_a, 6) AS h_a, round(h_b, 6) AS h_b, round(mi / ((h_a + h_b) / 2), 6) AS nmi, (SELECT count(*) FROM bo) AS tablets FROM m""",
     "pb",
 )
 def side_information(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pr.side_information(_sided(spark, d, "tok")))
+    return rounded(pr.side_information(_sided(spark, d)))

@@ -144,3 +144,9 @@ def test_empty_tables(spark):
     classes = spark.createDataFrame([], "cls string, members array<string>")
     assert pa.class_scores(classes, classes).first()["f1"] == 0
     assert con.line_scenarios(none.withColumn("line", F.col("pos")), F.lit(True)).count() == 0
+
+
+def test_robust_weight(spark):
+    weights = spark.createDataFrame([(0.5, True), (0.25, False), (0.125, True), (1.0, None)], "weight double, holds boolean")
+    assert se.robust_weight(weights).first()["expected"] == 0.625
+    assert se.robust_weight(weights.where("false")).first()["expected"] == 0

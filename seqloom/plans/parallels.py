@@ -14,6 +14,7 @@ from seqloom.plans.contrasts import _contrast
 from seqloom.plans.registry import h, query
 from seqloom.plans.scalars import _CODE, _codes
 from seqloom.sources import adapters as src
+from seqloom.sources.storage import cut
 
 _FM = """fm AS (SELECT o_custkey AS passage, tablet, min(stratum) AS stratum, list(substr(tok, 7, 1) ORDER BY pos) AS form FROM pb JOIN orders ON o_orderkey = tablet GROUP BY tablet, o_custkey),
  cn AS (SELECT passage, arg_min(form, (-len(form), tablet)) AS canonical FROM fm GROUP BY passage), sl AS (SELECT passage, ix - 1 AS ix, canonical[ix] AS tok FROM (SELECT *, unnest(range(1, len(canonical) + 1)) AS ix FROM cn)),
@@ -105,7 +106,8 @@ def shared_places(spark: SparkSession, d: str) -> DataFrame:
     "pb",
 )
 def pair_features(spark: SparkSession, d: str) -> DataFrame:
-    tokens, forms = _tokens(spark, d), _forms(spark, d)
+    # Both are read many times over; written once, they save the join and the window behind each reading.
+    tokens, forms = cut(_tokens(spark, d)), cut(_forms(spark, d))
     canonical = _canonical(forms)
     pairs = pa.shared_places(forms, canonical).select("tablet_a", "pos_a", F.col("tok").alias("tok_a"), "tablet_b", "pos_b", F.col("tok").alias("tok_b"))
     return rounded(pa.pair_features(pairs, tokens, pa.token_stats(tokens, forms, canonical), pa.relative_pmi(tokens)))

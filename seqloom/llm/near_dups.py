@@ -46,6 +46,8 @@ SIMILARITY = 85
 CELL = 256
 NEAREST = 2
 FAR = 5
+#: Rows of a few numbers that a join may broadcast, some MB in the driver.
+FEW = 50_000
 #: Symbols of the longer signature.
 LONG = 512
 
@@ -134,6 +136,12 @@ def _link_of(percent: int) -> Column:
     return link
 
 
+def _by(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """A join by sort and merge, or if right has FEW of counted rows at most, by broadcast. It isn't left to Spark, which takes
+    exploded keys and compressed files for far smaller than they are and would collect them in the driver."""
+    return left.join(F.broadcast(right) if rows is not None and rows <= FEW else right.hint("merge"), on, how)
+
+
 def _keys(classes: DataFrame, form: Layout) -> DataFrame:
     """rep, id (of chunk and symbol left out), key."""
     width = 2 * form.chunk
@@ -148,7 +156,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets are similar."""
     first = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
     second = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(first, "a").join(second, "b").where(_link_of(percent)("x", "y")).select("a", "b")
+    return _by(_by(pairs, first, "a"), second, "b").where(_link_of(percent)("x", "y")).select("a", "b")
 
 
 def _across(percent: int, nearest: bool):  # noqa: ANN202
@@ -196,29 +204,30 @@ def _across(percent: int, nearest: bool):  # noqa: ANN202
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """id, comp (smallest id reachable) of all that edges (a, b) touch, by large-star and small-star rounds."""
     now = common.settle(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    seen, n = None, now.count()
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _by(both.where("b > a"), least, "a", rows=2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small = _by(large, least, "a", rows=2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         now = common.settle(spark, small.where("a <> b").distinct(), "edges")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break
-        seen = state
+        seen, n = state, state[0]
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
 
 
 def _merged(spark: SparkSession, first: DataFrame, links: DataFrame) -> DataFrame:
     """The components `first` (id, comp) after more links (a, b)."""
+    n = first.count()
     name = lambda c: first.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
-    edges = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).distinct()
+    edges = _by(_by(links, name("a"), "a", "left", n), name("b"), "b", "left", n).select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).distinct()
     second = components(spark, edges).select(F.col("id").alias("old"), F.col("comp").alias("new"))
     second = common.settle(spark, second, "merged")
-    kept = first.join(second, first["comp"] == second["old"], "left").select("id", F.coalesce("new", "comp").alias("comp"))
-    added = second.join(first, second["old"] == first["id"], "left_anti").select(F.col("old").alias("id"), F.col("new").alias("comp"))
+    kept = _by(first, second, first["comp"] == second["old"], "left", second.count()).select("id", F.coalesce("new", "comp").alias("comp"))
+    added = _by(second, first, second["old"] == first["id"], "left_anti", n).select(F.col("old").alias("id"), F.col("new").alias("comp"))
     return common.settle(spark, kept.unionByName(added), "components")
 
 
@@ -233,26 +242,26 @@ def _judged(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
 
     keys = _keys(classes, form)
     least = keys.groupBy("key", "id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "id", "lo")
-    shared = common.settle(spark, keys.join(least, ["key", "id"]), "shared")
-    involved = shared.select("rep").distinct().join(classes, "rep").select("rep", "digest", F.col("first_id").alias("doc_id"))
-    sets = own.select("doc_id", "text").join(involved, "doc_id").select("rep", "digest", "text").mapInArrow(_sets, "id long, set binary, long binary").dropDuplicates(["id"])
+    shared = common.settle(spark, _by(keys, least, ["key", "id"]), "shared")
+    involved = _by(shared.select("rep").distinct(), classes, "rep").select("rep", "digest", F.col("first_id").alias("doc_id"))
+    sets = _by(own.select("doc_id", "text"), involved, "doc_id").select("rep", "digest", "text").mapInArrow(_sets, "id long, set binary, long binary").dropDuplicates(["id"])
     sets = common.settle(spark, sets, "sets")
 
     brief = classes.select("rep", "n", "sig")
     of = lambda name: brief.select(*[F.col(c).alias(f"{name}_{c}" if c != "rep" else name) for c in brief.columns])
     near = shared.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
     sized = lambda pairs: pairs.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    near = sized(near.join(of("a"), "a").join(of("b"), "b")).withColumn("far", _distance("a_sig", "b_sig")).where(F.col("far") <= form.radius)
+    near = sized(_by(_by(near, of("a"), "a"), of("b"), "b")).withColumn("far", _distance("a_sig", "b_sig")).where(F.col("far") <= form.radius)
     near = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     linked = common.settle(spark, _confirmed(near, sets, percent), "linked")
     placed = common.settle(spark, components(spark, linked), "components")
 
-    signs = brief.join(sets.select(F.col("id").alias("rep"), "long"), "rep")
+    signs = _by(brief, sets.select(F.col("id").alias("rep"), "long"), "rep")
     for nearest in [True] * NEAREST + [False]:
-        at = shared.join(placed, shared["rep"] == placed["id"], "left").select("key", shared["id"], "rep", F.coalesce("comp", "rep").alias("comp"))
+        at = _by(shared, placed, shared["rep"] == placed["id"], "left", placed.count()).select("key", shared["id"], "rep", F.coalesce("comp", "rep").alias("comp"))
         mixed = at.groupBy("key", "id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-        mixed = mixed.select("key", "id", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
-        members = at.join(mixed, ["key", "id"]).join(signs, "rep")
+        mixed = common.settle(spark, mixed.select("key", "id", F.ceil(F.col("size") / CELL).cast("int").alias("cells")), "mixed")
+        members = _by(_by(at, mixed, ["key", "id"], rows=mixed.count()), signs, "rep")
         members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
         members = members.withColumn("i", F.least("block", "to")).withColumn("j", F.greatest("block", "to"))
         cell = members.groupBy("key", "id", "i", "j").agg(F.collect_list(F.struct("rep", "comp", "n", "block", "sig", "long")).alias("rows"))  # about 2 * CELL rows
@@ -266,11 +275,12 @@ def _judged(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
         placed = _merged(spark, placed, links)
 
     # Classes that are linked, and rows without shingles, go their own ways: no join has a key that all of them share.
-    linked = placed.join(classes.select("digest", "rep", "first_id"), placed["id"] == classes["rep"]).select("digest", "first_id", "comp")
+    n = placed.count()
+    linked = _by(classes, placed, placed["id"] == classes["rep"], rows=n).select("digest", "first_id", "comp")
     least = linked.groupBy("comp").agg(F.min("first_id").alias("least"))
-    linked = linked.join(least, "comp").select("digest", "least")
-    reps = classes.select("digest", "first_id").join(linked, "digest", "left").select("digest", F.coalesce("least", "first_id").alias("component_id"))
-    out = signed.select("doc_id", "version", "n", "digest").join(reps, "digest").drop("digest")
+    linked = _by(linked, least, "comp", rows=n).select("digest", "least")
+    reps = _by(classes.select("digest", "first_id"), linked, "digest", "left", n).select("digest", F.coalesce("least", "first_id").alias("component_id"))
+    out = _by(signed.select("doc_id", "version", "n", "digest"), reps, "digest").drop("digest")
     return out.unionByName(signed.where("digest is null").select("doc_id", "version", "n", F.col("doc_id").alias("component_id")))
 
 
@@ -286,4 +296,4 @@ def keep(spark: SparkSession, docs: DataFrame, percent: int = SIMILARITY) -> Dat
     id_, version = common.fresh(docs, "id", "version")
     gone = _judged(spark, docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(id_), F.col("version").alias(version)).distinct()
     keyed = docs.withColumns({id_: common.order_id("doc_id"), version: F.xxhash64("text")})
-    return keyed.join(gone, [id_, version], "left_anti").select(*docs.columns)
+    return _by(keyed, gone, [id_, version], "left_anti").select(*docs.columns)

@@ -184,6 +184,19 @@ def test_near_duplicates_of_the_pipeline(spark):
     assert near_dups.keep(spark, docs).count() == len(texts)  # at 85 percent none is linked
 
 
+@pytest.mark.parametrize("run", ["keep"])  # the pipeline's stage
+def test_near_duplicates_collect_no_table_in_the_driver(spark, monkeypatch, run):
+    plans, settle = [], common.settle
+    look = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(common, "settle", lambda spark, df, name: (look(df), settle(spark, df, name))[1])
+    rng = random.Random(31)
+    docs = table(spark, [f"{w} {x}" for w in (prose(rng, 60) for _ in range(5)) for x in ("", "one", "one more")])
+    monkeypatch.setattr(near_dups, "FEW", -1, raising=False)  # no table counts as small
+    look(out := corpus_pipeline.dedup_documents(spark, docs, "") if run == "keep" else near_dups.find(spark, docs).where("kept"))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 15, 3))
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_layouts():
     assert near_dups.layout(85) == near_dups.Layout(shingles.CHUNKS, shingles.CHUNK) and near_dups.layout(85).radius == shingles.RADIUS
     assert near_dups.layout(80).missed(80) <= near_dups.MISS < near_dups.Layout(shingles.CHUNKS, shingles.CHUNK).missed(80)

@@ -184,7 +184,7 @@ def test_near_duplicates_of_the_pipeline(spark):
     assert near_dups.keep(spark, docs).count() == len(texts)  # at 85 percent none is linked
 
 
-@pytest.mark.parametrize("run", ["keep"])  # the pipeline's stage
+@pytest.mark.parametrize("run", ["keep", "find"])  # the pipeline's stage, op9's rows
 def test_near_duplicates_collect_no_table_in_the_driver(spark, monkeypatch, run):
     plans, settle = [], common.settle
     look = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())

@@ -101,3 +101,18 @@ def test_structure(spark):
     y = spark.createDataFrame([(0, v) for v in range(16) if bin(v & 6).count("1") % 2 == 0], "grp int, y int")
     assert st.hidden_period(y, 4).collect()[0].period == 6
     assert abs(st.assignment_weights(spark, [0.2, 0.7]).agg(F.sum("weight")).first()[0] - 1) < 1e-12
+
+
+def test_lines_of_equal_number_and_part_stay_as_stored(spark, tmp_path):
+    import datetime
+
+    from seqloom.plans import choices
+
+    early, late = datetime.datetime(1995, 1, 1), datetime.datetime(1999, 1, 1)
+    spark.createDataFrame([(7, "b")], "p_partkey long, p_brand string").selectExpr("*", "'t' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    fields = "l_orderkey long, l_linenumber int, l_partkey long, l_shipdate timestamp"
+    # The second file is larger, so Spark reads it first.
+    for k, rows in enumerate([[(1, 1, 7, early)], [(1, 1, 7, late), *((n, n, n, late) for n in range(10, 3000))]]):
+        spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet/file={k}")
+    got = {(r.stratum, r.parity) for r in choices.scenario_parity(spark, str(tmp_path)).where("scenario = 'all_late'").collect()}
+    assert got == {("pre", 0), ("post", 1)}

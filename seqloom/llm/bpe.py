@@ -1,11 +1,11 @@
 """Byte-level BPE: exact encoding in linear time, and decoding.
 
 A text is cut by the tokenizer's pattern, and each piece is encoded by itself. Bytes are mapped to Latin-1 characters, so
-that a pyahocorasick automaton over the vocabulary finds all tokens at all places of a piece in one pass. From the left the
-longest token is tried first; it stands if it is compatible with the token before it, that is, if merging by rank would leave
-the boundary between the two alone. If it is not, the next shorter token is tried, and without one the token before is taken
-back; places from which no encoding goes on are marked and never tried again. Compatibility of two adjacent tokens depends on
-nothing else and is memoised. Frequent pieces are kept with their ids.
+that a pyahocorasick automaton over the vocabulary finds all tokens at all places of a piece in one pass, of which the longest
+at each place is noted. From the left the longest token is tried first; it stands if it is compatible with the token before
+it, that is, if merging by rank would leave the boundary between the two alone. If it is not, the next shorter token is tried,
+and without one the token before is taken back; places from which no encoding goes on are marked and never tried again.
+Compatibility of two adjacent tokens depends on nothing else and is memoised. Frequent pieces are kept with their ids.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; texts with unpaired surrogates can't be stored in
 Parquet and don't arise; long runs without white space are one piece, encoded in linear time; repeated rows encode alike;
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import common
 
-_CACHE = 100_000
+_CACHE = 200_000
 #: Under this pattern a text may be cut before each space, provided that no space is followed by white space: a piece has a
 #: space at its start only, and of a run of white space before a word just the last space goes to the word.
 _CUT_AT_SPACES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,12 +34,15 @@ _DOUBLE = regex.compile(r" \s")
 
 
 class Recent(dict):
-    """A cache of two generations: when one is full it becomes the old one, from which what is used comes back."""
+    """A cache of two generations: when one is full it becomes the old one, from which what is used comes back. Keys of
+    over `most` characters aren't kept."""
 
-    def __init__(self, make: Callable[[str], object], size: int = _CACHE) -> None:
-        self.make, self.size, self.old = make, size, {}
+    def __init__(self, make: Callable[[str], object], most: int, size: int = _CACHE) -> None:
+        self.make, self.most, self.size, self.old = make, most, size, {}
 
     def __missing__(self, key: str) -> object:
+        if len(key) > self.most:
+            return self.make(key)
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
@@ -86,20 +89,20 @@ class Encoder:
         for text, k in self.by_text.items():
             self.automaton.add_word(text, k)
         self.automaton.make_automaton()
-        self.most = max(self.lengths, default=0)
         #: Of each token, the longest token that it starts with, other than itself; -1 without one.
         self.shorter = [next((self.rank[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.rank), -1) for t in tokens]
-        self.memo: dict[tuple[int, int], bool] = {}
+        self.memo: dict[int, bool] = {}  # by left * len(tokens) + right
         self.names = [str(k) for k in range(len(tokens))]
-        self.pieces, self.runs = Recent(self.piece), Recent(self.run)
+        self.pieces, self.runs = Recent(self.piece, 32), Recent(self.run, 40)
 
     def compatible(self, left: int, right: int) -> bool:
         """Would merging the bytes of both by rank end in these two tokens?"""
-        found = self.memo.get((left, right))
+        key = left * len(self.tokens) + right
+        found = self.memo.get(key)
         if found is None:
             if len(self.memo) >= 400_000:
                 self.memo.clear()
-            found = self.memo[left, right] = self._compatible(left, right)
+            found = self.memo[key] = self._compatible(left, right)
         return found
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -130,20 +133,26 @@ class Encoder:
                     right = undone
 
     def encode_piece(self, data: bytes) -> list[int]:
-        whole = self.rank.get(data)
+        return self._encode(data.decode("latin-1"))
+
+    def _encode(self, text: str) -> list[int]:
+        """Of a piece's bytes as Latin-1."""
+        whole = self.by_text.get(text)
         if whole is not None:
             return [whole]
-        n, text = len(data), data.decode("latin-1")
-        lengths, shorter, memo, compatible, longest = self.lengths, self.shorter, self.memo, self.compatible, self.longest
+        n, size, lengths, shorter, memo, compatible = len(text), len(self.tokens), self.lengths, self.shorter, self.memo, self.compatible
+        longest = [-1] * n  # the longest token at each place: of those that begin there it ends last
+        for end, token in self.automaton.iter(text):
+            longest[end + 1 - lengths[token]] = token
         out: list[int] = []
         dead: set[int] = set()  # places from which no encoding goes on
-        at, token = 0, longest(text, 0)
+        at, token = 0, longest[0] if n else -1
         while True:
             last = out[-1] if out else -1
             while token >= 0:
                 end = at + lengths[token]
                 if end not in dead:
-                    fits = last < 0 or memo.get((last, token))
+                    fits = last < 0 or memo.get(last * size + token)
                     if fits is None:
                         fits = compatible(last, token)
                     if fits:
@@ -154,7 +163,7 @@ class Encoder:
                 at = end
                 if at == n:
                     return out
-                token = longest(text, at)
+                token = longest[at]
             elif last < 0:
                 raise ValueError("no encoding: the vocabulary lacks a byte")
             else:
@@ -163,26 +172,16 @@ class Encoder:
                 at -= lengths[last]
                 token = shorter[last]
 
-    def longest(self, text: str, at: int) -> int:
-        """The longest token at a place: the automaton's longest path, cut back to a token."""
-        part = text[at : at + self.most]
-        part = part[: self.automaton.longest_prefix(part)]
-        names = self.by_text
-        while part:
-            token = names.get(part)
-            if token is not None:
-                return token
-            part = part[:-1]
-        return -1
-
     def piece(self, text: str) -> tuple[int, str, bytes]:
         """Of a piece: how many ids, the ids as text, and the bytes that they decode to."""
-        ids = self.encode_piece(text.encode())
+        ids = self._encode(text if text.isascii() else text.encode().decode("latin-1"))
         return len(ids), " ".join([self.names[k] for k in ids]), self.decode(ids)
 
     def run(self, text: str) -> tuple[int, str, bytes]:
-        """The same of the pieces of a stretch of text; long pieces aren't kept."""
-        parts = [self.pieces[p] if len(p) <= 32 else self.piece(p) for p in self.pattern.findall(text)]
+        """The same of the pieces of a stretch of text."""
+        parts = [self.pieces[p] for p in self.pattern.findall(text)]
+        if len(parts) == 1:
+            return parts[0]
         return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
 
     def encode(self, text: str | None) -> list[int]:
@@ -205,11 +204,11 @@ class Encoder:
             stretches = text.split(" ")
             stretches[1:] = [" " + x for x in stretches[1:]]
             stretches = stretches if stretches[0] else stretches[1:]
-            kept, limit = self.runs, 40
+            kept = self.runs
         else:
-            stretches, kept, limit = self.pattern.findall(text), self.pieces, 32
+            stretches, kept = self.pattern.findall(text), self.pieces
         for k in range(0, len(stretches), 8192):
-            yield [kept[x] if len(x) <= limit else self.run(x) for x in stretches[k : k + 8192]]
+            yield [kept[x] for x in stretches[k : k + 8192]]
 
 
 _made: dict[int, Encoder] = {}

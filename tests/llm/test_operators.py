@@ -316,6 +316,22 @@ def test_merges_are_exact(encoders):
         assert ours.encode(text) == theirs.encode_ordinary(text)
 
 
+def test_a_piece_takes_one_pass(encoders, monkeypatch):
+    ours, theirs = encoders
+    real, calls = ours.automaton, []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(real, name)
+
+    monkeypatch.setattr(ours, "automaton", Counted())
+    for text in (" oueauquetre", " Inereaernt", "theing" * 50, "漢é🙂" * 9):
+        del calls[:]
+        assert [k for p in ours.pattern.findall(text) for k in ours.encode_piece(p.encode())] == theirs.encode_ordinary(text)
+        assert len(calls) <= len(ours.pattern.findall(text))
+
+
 def test_digests_of_a_table(spark, encoders):
     import public_tokenizers as P
 

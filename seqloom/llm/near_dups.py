@@ -287,13 +287,16 @@ def _judged(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
 def find(spark: SparkSession, docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     given = lambda c: F.when(F.col(c) < 2**63 - 1, F.col(c)).alias(c)
-    out = _judged(spark, docs, percent)
+    with common.brief_shuffles(spark):
+        out = _judged(spark, docs, percent)
     return out.select(given("doc_id"), F.col("n").alias("n_shingles"), given("component_id"), (F.col("component_id") == F.col("doc_id")).alias("kept"))
 
 
 def keep(spark: SparkSession, docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """docs without those that aren't the first of their group."""
     id_, version = common.fresh(docs, "id", "version")
-    gone = _judged(spark, docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(id_), F.col("version").alias(version)).distinct()
+    with common.brief_shuffles(spark):
+        judged = _judged(spark, docs, percent)
+    gone = judged.where("component_id <> doc_id").select(F.col("doc_id").alias(id_), F.col("version").alias(version)).distinct()
     keyed = docs.withColumns({id_: common.order_id("doc_id"), version: F.xxhash64("text")})
     return _by(keyed, gone, [id_, version], "left_anti").select(*docs.columns)

@@ -7,6 +7,7 @@ import gzip
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -197,6 +198,23 @@ def test_near_duplicates_collect_no_table_in_the_driver(spark, monkeypatch, run)
     assert sum("SortMergeJoin" in p for p in plans) > 5 and not [p for p in plans if "Broadcast" in p]
 
 
+@pytest.mark.parametrize("run", ["keep", "find"])  # the pipeline's stage, op9's rows
+def test_near_duplicates_leave_no_shuffle_files(spark, run):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda files: {files.apply(k).getName() for k in range(files.size())}
+    shuffles = lambda: {x.split("_")[1] for x in names(blocks.getAllFiles()) if x.startswith("shuffle_")}
+    rng, before = random.Random(32), shuffles()
+    docs = table(spark, [f"{w} {x}" for w in (prose(rng, 60) for _ in range(5)) for x in ("", "one", "one more")])
+    out = corpus_pipeline.dedup_documents(spark, docs, "") if run == "keep" else near_dups.find(spark, docs).where("kept")
+    end = time.time() + 5  # files go in the background
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.conf.get(getattr(common, "CLEANUP", "none"), None) is None  # set for the operator's own queries only
+    for _ in range(2):
+        assert sorted(r.doc_id for r in out.collect()) == list(range(0, 15, 3))
+
+
 def test_layouts():
     assert near_dups.layout(85) == near_dups.Layout(shingles.CHUNKS, shingles.CHUNK) and near_dups.layout(85).radius == shingles.RADIUS
     assert near_dups.layout(80).missed(80) <= near_dups.MISS < near_dups.Layout(shingles.CHUNKS, shingles.CHUNK).missed(80)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 import pytest
 
+from seqloom.operators import information as info
 from seqloom.operators import language_models as lm
+from seqloom.operators import relational as rel
 from seqloom.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -37,3 +40,31 @@ def test_sequences_and_tokens_give_the_same_places(spark):
     own = spark.createDataFrame(rows, TOKENS)
     whole = spark.createDataFrame([(0, ["a", "b", "a"]), (1, ["b"])], "tablet long, seq array<string>")
     assert sorted(map(tuple, lm.events(own, 2).collect())) == sorted(map(tuple, lm.events(whole, 2).collect()))
+
+
+def test_running_sums_by_parts(spark):
+    rows = [("g", float(k * k), k % 3 + 1) for k in range(1000)] + [("h", 5.0, 7), ("h", None, 2), ("h", float("nan"), 1)]
+    got = {(g, str(k)): b for g, k, _, b in rel.running(spark.createDataFrame(rows, "g string, k double, n long"), "k", "n", "g").collect()}
+    total = 0
+    for _, k, n in rows[:1000]:
+        assert got["g", str(k)] == total
+        total += n
+    assert (got["h", "5.0"], got["h", "nan"], got["h", "None"]) == (0, 7, 8)
+
+
+def test_spearman_ranks_ties_at_their_mean_without_a_window_of_a_group(spark):
+    xs, ys = [k % 7 for k in range(200)], [(k * k) % 31 for k in range(200)]
+    own = spark.createDataFrame([("a", x, y) for x, y in zip(xs, ys)], "g string, x int, y int")
+    mean = lambda v: [sum(u < w for u in v) + (v.count(w) + 1) / 2 for w in v]
+    want = pd.Series(mean(xs)).corr(pd.Series(mean(ys)))
+    df = info.spearman(own, "x", "y", "g")
+    assert df.first()["rho"] == pytest.approx(want)
+    assert "hashpartitioning(g#" not in "".join(line for line in planned(df).splitlines() if "Window" in line)
+    assert "__part" in planned(df)
+
+
+@data
+@pytest.mark.parametrize("name", ["place_spread", "mismatch_rates"])
+def test_parts_grow_with_the_source(spark, name, monkeypatch):
+    monkeypatch.setattr(rel, "STEP", 100)
+    assert "REPARTITION_BY_NUM" in planned(catalog.queries()[name](spark, DIR))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -10,6 +12,7 @@ import pytest
 from seqloom.operators import information as info
 from seqloom.operators import language_models as lm
 from seqloom.operators import relational as rel
+from seqloom.operators import resampling as rs
 from seqloom.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -68,3 +71,19 @@ def test_spearman_ranks_ties_at_their_mean_without_a_window_of_a_group(spark):
 def test_parts_grow_with_the_source(spark, name, monkeypatch):
     monkeypatch.setattr(rel, "STEP", 100)
     assert "REPARTITION_BY_NUM" in planned(catalog.queries()[name](spark, DIR))
+
+
+def test_bootstrap_draws_by_hash_without_a_shuffle_of_draws(spark):
+    own = [("g", t, p, "abc"[(t * 5 + p) % 3]) for t in range(6) for p in range(7)] + [("h", 1, 0, "z"), ("h", 2, 0, "a")]
+    df = rs.bootstrap(spark.createDataFrame(own, "stratum string, tablet long, pos int, tok string"), 5, 42, "stratum")
+    got = {(r["stratum"], r["replica"]): r["ic"] for r in df.collect()}
+    for g in "gh":
+        toks = [t for s, *_, t in own if s == g]
+        for k in range(5):
+            picks = Counter(toks[int(hashlib.md5(f"42:{k}:{p}".encode()).hexdigest()[:8], 16) % len(toks)] for p in range(len(toks)))
+            assert got[g, k] == pytest.approx(sum(f * (f - 1) for f in picks.values()) / (len(toks) * (len(toks) - 1)))
+    assert "SortMergeJoin" not in planned(df)
+
+
+def test_bootstrap_ci_draws_all_replicas():
+    assert "range(2000)" in catalog.oracles()["bootstrap_ci"] and "k = 1950" in catalog.oracles()["bootstrap_ci"]

@@ -88,7 +88,7 @@ _ROLES = """k AS (SELECT count(DISTINCT tok)::DOUBLE AS k FROM dw), bg AS (SELEC
     "dw",
 )
 def fingerprint_roles(spark: SparkSession, d: str) -> DataFrame:
-    t = src.doc_words(spark, d)
+    t = src.doc_words(spark, d, following=True)
     often = info.counts(t).where("f >= 20").select("tok")
     return rounded(fe.roles(ng.roles(t).join(often, "tok")))
 

@@ -99,7 +99,7 @@ def spearman_quantity_price(spark: SparkSession, d: str) -> DataFrame:
     "dw",
 )
 def cross_tablet_consistency(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(info.consistency(src.doc_words(spark, d), 20))
+    return rounded(info.consistency(src.doc_words(spark, d, following=True), 20))
 
 
 @query("""WITH c AS (SELECT tok, count(*) AS f FROM pb GROUP BY tok) SELECT tok, f, round((f / (SELECT sum(f)::DOUBLE FROM c)) ** 2, 6) AS p2, round((f / (SELECT max(f)::DOUBLE FROM c)) ** 2, 6) AS relative FROM c""", "pb")
@@ -146,7 +146,7 @@ def cond_entropy_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_COND.format(by="stratum", part="stratum ORDER BY tablet, pos", t="dw"), "dw")
 def cond_entropy_pooled(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ng.conditional_entropy(src.doc_words(spark, d), "stratum", span="stratum"))
+    return rounded(ng.conditional_entropy(src.doc_words(spark, d, following=True), "stratum", span="stratum"))
 
 
 @query(

@@ -11,6 +11,7 @@ import pytest
 
 from seqloom.operators import information as info
 from seqloom.operators import language_models as lm
+from seqloom.operators import ngrams as ng
 from seqloom.operators import relational as rel
 from seqloom.operators import resampling as rs
 from seqloom.plans import catalog
@@ -87,3 +88,20 @@ def test_bootstrap_draws_by_hash_without_a_shuffle_of_draws(spark):
 
 def test_bootstrap_ci_draws_all_replicas():
     assert "range(2000)" in catalog.oracles()["bootstrap_ci"] and "k = 1950" in catalog.oracles()["bootstrap_ci"]
+
+
+@data
+@pytest.mark.parametrize("name", ["cond_entropy_pooled", "fingerprint_roles", "determinative_candidates", "cross_tablet_consistency"])
+def test_words_are_not_dealt_by_document(no_broadcast, name):
+    """The next word comes with each word, so no window orders the words of documents; sizes of documents come with them too."""
+    plan = planned(catalog.queries()[name](no_broadcast, DIR))
+    assert "lead(tok#" not in plan and "SortMergeJoin [tablet" not in plan
+
+
+def test_pooled_bigrams_of_words_that_bring_the_next(spark):
+    texts = {3: "a b a", 1: "b", 2: "c c"}
+    rows = [(t, k, w, "s", (text.split() + [None])[k + 1]) for t, text in texts.items() for k, w in enumerate(text.split())]
+    own = spark.createDataFrame(rows, TOKENS + ", nxt string")
+    for span in ("tablet", "stratum"):
+        a, b = (sorted(map(tuple, ng.bigrams(x, span=span).collect())) for x in (own, own.drop("nxt")))
+        assert a == b and a

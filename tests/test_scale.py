@@ -68,7 +68,7 @@ def test_spearman_ranks_ties_at_their_mean_without_a_window_of_a_group(spark):
 
 
 @data
-@pytest.mark.parametrize("name", ["place_spread", "mismatch_rates"])
+@pytest.mark.parametrize("name", ["place_spread", "mismatch_rates", "perm_pvalue_blocks"])
 def test_parts_grow_with_the_source(spark, name, monkeypatch):
     monkeypatch.setattr(rel, "STEP", 100)
     assert "REPARTITION_BY_NUM" in planned(catalog.queries()[name](spark, DIR))
@@ -105,3 +105,9 @@ def test_pooled_bigrams_of_words_that_bring_the_next(spark):
     for span in ("tablet", "stratum"):
         a, b = (sorted(map(tuple, ng.bigrams(x, span=span).collect())) for x in (own, own.drop("nxt")))
         assert a == b and a
+
+
+@data
+@pytest.mark.parametrize("name", ["scenario_parity", "scenario_ic"])
+def test_undated_tablets_are_numbered_in_parts(spark, name):
+    assert "__part" in planned(catalog.queries()[name](spark, DIR))
